@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.mixing import mix
 from spanloom.llm.sharding import shard_rows
+from spanloom.llm.streaming_encoder import encode_digests
+from spanloom.llm.token_counts import count_tokens
+from spanloom.llm.token_files import output_folder, read_token_files, write_token_files
 from spanloom.session import table
 
 
@@ -13,15 +17,32 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), share=1.5, cap=2.0)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = output_folder(spark)
+    manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return read_token_files(spark, manifest, folder)
+
+
 def queries() -> dict:
     """One query opN_<name> for each operator."""
     return {
         "op3_sharding": op3_sharding,
+        "op4_token_counts": op4_token_counts,
+        "op5_sentencepiece": op5_sentencepiece,
         "op7_mixing": op7_mixing,
+        "op8_token_files": op8_token_files,
     }
 
 
