@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.language_id import identify
 from spanloom.llm.mixing import mix
+from spanloom.llm.quality_classifier import classify
+from spanloom.llm.quality_rules import judge
 from spanloom.llm.sharding import shard_rows
 from spanloom.llm.streaming_encoder import encode_digests
 from spanloom.llm.token_counts import count_tokens
@@ -13,6 +16,10 @@ from spanloom.llm.token_files import output_folder, read_token_files, write_toke
 from spanloom.session import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -35,14 +42,25 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest, folder)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     """One query opN_<name> for each operator."""
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_sharding": op3_sharding,
         "op4_token_counts": op4_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_mixing": op7_mixing,
         "op8_token_files": op8_token_files,
+        "op9_language_id": op9_language_id,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
