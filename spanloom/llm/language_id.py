@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.batches import parts
 from spanloom.llm.learning import fold, sampled
 from spanloom.llm.pieces import CACHE_ENTRIES
+from spanloom.session import cut
 
-SAMPLE = 8000
+SAMPLE = 4000
 HELD_OUT = (4, 2)
 WORDS = 50_000
 GRAMS = 40_000
@@ -134,7 +135,8 @@ def fit(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: s
                         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "kind": [kind] * len(found), "text": list(found), "n": pa.array(found.values(), pa.int64())})
 
     counts = texts.mapInArrow(count, "lang string, kind string, text string, n long").groupBy("kind", "text", "lang").agg(F.sum("n").alias("n"))
-    by_text = counts.groupBy("kind", "text").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    # at most one entry a language of the sample in each row
+    by_text = cut(counts.groupBy("kind", "text").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
     rows = []
     for kind, keep, least in (("w", WORDS, 2), ("g", GRAMS, 1)):
         rows += by_text.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy(F.desc("all"), "text").limit(keep).collect()

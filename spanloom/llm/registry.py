@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.language_id import identify
 from spanloom.llm.mixing import mix
+from spanloom.llm.prefix_forest import neighbours
 from spanloom.llm.quality_classifier import classify
 from spanloom.llm.quality_rules import judge
 from spanloom.llm.sharding import shard_rows
@@ -20,6 +21,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -54,6 +59,7 @@ def queries() -> dict:
     """One query opN_<name> for each operator."""
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_prefix_forest": op2_prefix_forest,
         "op3_sharding": op3_sharding,
         "op4_token_counts": op4_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
