@@ -1,14 +1,27 @@
-"""Arrow batches cut to bounded sizes."""
+"""Arrow batches cut to bounded sizes, and bounded caches of a worker."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: spans that a worker remembers
+CACHE_ENTRIES = 600_000
+
+
+def make_room(cache: dict, more: int = 1) -> None:
+    """Forget the older half of a full cache; what is frequent comes back at once."""
+    if len(cache) + more > CACHE_ENTRIES:
+        rest = dict(islice(cache.items(), len(cache) // 2, None)) if len(cache) // 2 + more <= CACHE_ENTRIES else {}
+        cache.clear()
+        cache.update(rest)
+
+
 def parts(b: pa.RecordBatch, column: int = 1, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in a text or binary column each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.jaccard_join import near_duplicates
 from spanloom.llm.language_id import identify
 from spanloom.llm.mixing import mix
 from spanloom.llm.prefix_forest import neighbours
@@ -37,6 +38,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), share=1.5, cap=2.0)
 
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op4_token_counts": op4_token_counts,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
         "op8_token_files": op8_token_files,
         "op9_language_id": op9_language_id,
