@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,9 +74,10 @@ def queries() -> dict:
         "op8_token_files": op8_token_files,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; operators that are not here are tested against brute force."""
-    return {}
+    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
