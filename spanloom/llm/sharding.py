@@ -35,21 +35,21 @@ def ring(spark, n_shards: int, virtual: int) -> DataFrame:
     """
     nodes = (
         spark.range(n_shards * virtual)
-        .select((F.col("id") % n_shards).cast("int").alias("home"), F.xxhash64(F.lit("node"), "id").alias("h"), _slot(F.lit("node"), "id").alias("pos"))
+        .select(F.floor(F.col("id") / virtual).cast("int").alias("home"), F.xxhash64(F.lit("node"), "id").alias("h"), _slot(F.lit("node"), "id").alias("pos"))
         .groupBy("pos").agg(F.min_by("home", "h").alias("home"))
     )
     ahead = W.orderBy("pos").rowsBetween(0, W.unboundedFollowing)
     first = W.orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return (
         spark.range(SLOTS).select(F.col("id").cast("int").alias("pos")).join(nodes, "pos", "left")
-        .select("pos", F.coalesce(F.first("home", True).over(ahead), F.first("home", True).over(first)).alias("home"))
+        .select("pos", F.coalesce(F.first("home", True).over(ahead), F.first("home", True).over(first)).alias("home"), F.col("home").isNotNull().alias("node"))
     )
 
 
 def _walk(positions: str, room: Column) -> Column:
     """Serve the queue of overflowing keys along the ring, two laps at most.
 
-    positions: array of (pos, home, over), in ring order; room: free rows by
+    positions: array of (pos, home, over, node, ...), in ring order; room: free rows by
     shard.  Returns the moves (shard, start, take, at): keys with overflow
     ranks from start on go to the shard, where they get the places from at on.
     """
@@ -67,7 +67,8 @@ def _walk(positions: str, room: Column) -> Column:
             F.struct((waiting - take).alias("carry"), (s["served"] + take).alias("served"), left.alias("room"), F.concat(s["moves"], F.array(move)).alias("moves"))
         )
 
-    lap = lambda over: F.transform(positions, lambda x: F.struct(x["home"].alias("home"), over(x).alias("over")))
+    stops = F.filter(positions, lambda x: x["node"] | (x["over"] > 0))
+    lap = lambda over: F.transform(stops, lambda x: F.struct(x["home"].alias("home"), over(x).alias("over")))
     return F.aggregate(F.concat(lap(lambda x: x["over"]), lap(lambda x: F.lit(0).cast("long"))), start, step)["moves"]
 
 
@@ -99,10 +100,10 @@ def shard_rows(docs: DataFrame, n_shards: int = 24, virtual: int = 64, id_col: s
     before = W.partitionBy("home").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     at = at.join(F.broadcast(loads), "home").select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     over = F.greatest(F.lit(0), F.least("n", F.col("offset") + F.col("n") - F.col("cap"))).cast("long")
-    at = at.select("pos", "home", "n", "offset", over.alias("over"))
+    at = at.select("pos", "home", "node", "n", "offset", over.alias("over"))
     at = at.select("*", F.coalesce(F.sum("over").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begun"))
     # fixed in size: SLOTS positions and n_shards loads, in one row
-    at = at.groupBy().agg(F.sort_array(F.collect_list(F.struct("pos", "home", "over", "n", "offset", "begun"))).alias("at"))
+    at = at.groupBy().agg(F.sort_array(F.collect_list(F.struct("pos", "home", "over", "n", "offset", "begun", "node"))).alias("at"))
     caps = loads.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("home", "own", "cap"))), lambda x: F.struct(x["cap"].alias("cap"), F.greatest(F.lit(0).cast("long"), x["cap"] - x["own"]).alias("room"))).alias("caps"))
     whole = at.withColumn("one", F.lit(1)).join(caps.withColumn("one", F.lit(1)), "one")
     whole = whole.select("at", "caps", _walk("at", F.transform("caps", lambda x: x["room"])).alias("moves"))
