@@ -31,3 +31,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns[0] == "dst"
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_stands_without_the_corpus_operators():
+    """As if the subpackage and its pipeline were deleted."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['spanloom.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; names = e.queries(); assert 'callers' in names and not any(n.startswith('op') for n in names) and 'pipeline' not in names and set(e.oracle_sql()) <= set(names)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
