@@ -38,7 +38,7 @@ def glob_regex(pattern: str) -> str | None:
                     k += 1
                 if k >= len(pattern):
                     return None
-                body += pattern[k] if pattern[k] == "-" else re.escape(pattern[k]).replace("&", r"\&")
+                body += pattern[k] if pattern[k] == "-" else re.escape(pattern[k])
                 k += 1
             if k >= len(pattern) or not body or body.startswith("-") or body.endswith("-"):
                 return None

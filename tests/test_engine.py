@@ -314,3 +314,25 @@ def test_tools(g):
     lines = ["", "not json", json.dumps({"id": 2, "method": "tools/list"}), json.dumps({"id": 3, "method": "nothing"}), json.dumps({"id": 4, "method": "tools/call"}), json.dumps({"method": "notifications/initialized"}), json.dumps({"id": 5, "method": "initialize"})]
     got = [json.loads(x) for x in t.serve(lines)]
     assert [x["id"] for x in got] == [2, 3, 4, 5] and len(got[0]["result"]["tools"]) == 4 and got[1]["error"]["code"] == -32601 and got[2]["error"]["code"] == -32602
+
+
+def test_command_line(spark, tree, tmp_path, monkeypatch, capsys):
+    from spanloom import cli
+
+    (tmp_path / "trees").mkdir()
+    for f in ("app.py", "lib.py"):
+        (tmp_path / "trees" / f"{f}.xml").write_text(tree_of(f).replace(f'name="{f}"', f'name="{tree}/{f}"'))
+    assert cli.run(["index", tree, f"{tmp_path}/trees"]) == 0
+    monkeypatch.chdir(tree)
+    capsys.readouterr()
+
+    def out(*args):
+        assert cli.run(list(args)) == 0
+        return capsys.readouterr().out.splitlines()
+
+    assert out("query", "helper", "--callers") == ["helper\tlib.py\t1\t1\tlib.py:1:1", "lib.py:1:1\tmain\tlib.py\t0"]
+    assert out("outline", "app.py") == ["2\tmain\tapp.py"] and out("list")[:3] == ["files\t3", "nodes\t2", "edges\t1"]
+    assert out("grep", "helper") == ["lib.py:1:def helper():"] and out("grep", "-c", "main") == ["1"] and out("grep", "-h", "class S") == ["2:class Store:"]
+    assert out("sinks") == [] and out("reachable", "main", "--pkg", "os") == []
+    monkeypatch.chdir("/")
+    assert cli.run(["list"]) == 1
