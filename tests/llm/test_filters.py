@@ -118,7 +118,7 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_language_backs_off_to_shorter_grams():
-    counts = {("w", "haus"): np.array([9.0, 1.0]), ("g", "ung>"): np.array([8.0, 0.0]), ("g", "x"): np.array([0.0, 5.0])}
+    counts = {("w", "haus"): np.array([9.0, 1.0]), ("g", "ung>"): np.array([8.0, 0.0]), ("g", "x"): np.array([0.0, 5.0]), ("g", "y"): np.array([5.0, 0.0])}
     s = language_id.Scorer(language_id.Tables(["de", "en"], counts))
     assert s.predict("Haus")[0] == "de" and s.predict("Meinung")[0] == "de" and s.predict("xx")[0] == "en"
     assert s.predict("12 34") == ("und", 0.0) and document(1)
