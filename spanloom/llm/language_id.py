@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.batches import parts
+from spanloom.llm.batches import CACHE_ENTRIES, parts
 from spanloom.llm.learning import fold, sampled
-from spanloom.llm.pieces import CACHE_ENTRIES
 from spanloom.session import cut
 
 SAMPLE = 4000
