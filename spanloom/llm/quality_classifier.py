@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.batches import make_room
 from spanloom.llm.learning import fold, labelled_texts
-from spanloom.llm.pieces import CACHE_ENTRIES
 
 BITS = 18
 SAMPLE = 6000
@@ -40,8 +40,7 @@ _words: dict[bytes, int] = {}
 
 def _of_word(w: bytes) -> int:
     """Two 32-bit hashes in one number: of the word in lower case, and of its shape."""
-    if len(_words) >= CACHE_ENTRIES:
-        _words.clear()
+    make_room(_words)
     shape = _RUN.sub(rb"\1", w.translate(_FOLD))
     found = zlib.crc32(w.lower()) << 32 | zlib.crc32(shape)
     if len(w) <= 64:
