@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 
 #: spans that a worker remembers
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 
 def make_room(cache: dict, more: int = 1) -> None:

@@ -16,8 +16,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import ahocorasick
+
 SPACE = "▁"
-CACHE_ENTRIES = 300_000
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 
 def _fields(data: bytes) -> list[tuple[int, object]]:
@@ -87,18 +89,28 @@ class PieceModel:
         #: whether no piece has a space mark after another character, and none spans a line feed
         self.cut_spaces = not any(x[1] == SPACE and x[0] != SPACE for x in inner)
         self.cut_lines = not any("\n" in x for x in inner)
-        self.span = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.cut_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: nor one with a Latin letter next to anything else, but for a space mark before it
+        latin = re.compile(f"[{LATIN}]").match
+        self.cut_letters = not any(x[0] != SPACE and bool(latin(x[0])) != bool(latin(x[1])) for x in inner)
+        line = "\n" if self.cut_lines else ""
+        spans = [f"{SPACE}*[{LATIN}]+", f"{SPACE}*[^{SPACE}{line}{LATIN}]+"] if self.cut_letters else [f"{SPACE}*[^{SPACE}{line}]+"]
+        self.span = re.compile("|".join([*spans, f"{SPACE}+", *([line] if line else [])]))
         self.pairs: dict[str, dict[str, bool]] = {}
         self._reach: dict[str, bool] = {}
         self._splits: dict[str, tuple[str, str] | None] = {}
         #: the order of merges; texts with pieces of equal score are merged step by step
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.ends = {p[k:] for p in self.ids for k in range(len(p))}
         counts = Counter(self.scores[p] for p in self.ids if len(p) > 1)
         merges = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p])
         self.rank = {p: k for k, p in enumerate(merges)}
         tied = [p for p, n in zip(merges, (counts[self.scores[p]] for p in merges), strict=True) if n > 1]
         self.tied = re.compile("|".join(map(re.escape, tied)) or "(?!)")
+        #: all pieces that can occur, with (length, piece), by where they end in a text
+        automaton = ahocorasick.Automaton()
+        for p in self.ids:
+            if self.kind != "bpe" or self.reachable(p):
+                automaton.add_word(p, (len(p), p))
+        automaton.make_automaton()
+        self.found = automaton.iter
 
     # text -> spans
 
@@ -184,30 +196,30 @@ class PieceModel:
 
     def last_pieces(self, span: str) -> tuple[list[str], list[int]]:
         """For every prefix: the last piece of its encoding, and its count of ids."""
-        n, most, ids, pairs, reach, starts = len(span), self.longest, self.ids, self.pairs, self._reach, self.starts
+        n, pairs = len(span), self.pairs
         last, count = [""] * (n + 1), [0] * (n + 1)
-        for j in range(n):  # what ends at j is known: go on from there
-            a, so_far = last[j], count[j]
-            for i in range(j + 1, j + most + 1 if j + most < n else n + 1):
-                t = span[j:i]
-                if t in ids:
-                    if not (reach[t] if t in reach else self.reachable(t)):
-                        continue
-                    cost = 1
-                elif i - j == 1:
-                    cost = self.cost(t)
-                elif t in starts:
+        at = 0  # positions up to here are settled
+        for end, (size, t) in self.found(span):
+            i = end + 1
+            if i <= at:
+                continue
+            while at < i - 1:
+                at += 1
+                last[at], count[at] = span[at - 1], count[at - 1] + self.cost(span[at - 1])
+            j = i - size
+            if j:
+                a = last[j]
+                try:
+                    ok = pairs[a][t]
+                except KeyError:
+                    ok = self._pair(a, t)
+                if not ok:
                     continue
-                else:
-                    break
-                if j:
-                    try:
-                        ok = pairs[a][t]
-                    except KeyError:
-                        ok = self._pair(a, t)
-                    if not ok:
-                        continue
-                last[i], count[i] = t, so_far + cost
+            last[i], count[i] = t, count[j] + 1
+            at = i
+        while at < n:
+            at += 1
+            last[at], count[at] = span[at - 1], count[at - 1] + self.cost(span[at - 1])
         return last, count
 
     # decoding

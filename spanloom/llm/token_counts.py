@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.pieces import CACHE_ENTRIES, PieceModel, load
+from spanloom.llm.batches import make_room
+from spanloom.llm.pieces import PieceModel, load
 
 _last = itemgetter(-1)
 
@@ -39,8 +40,7 @@ class PrefixCounts:
             count = self.model.last_pieces(span)[1][1:]
             known = bytes(count) if count[-1] < 200 and max(count) < 256 else count
             if len(span) <= 64:  # longer spans hardly repeat
-                if len(self._spans) >= CACHE_ENTRIES:
-                    self._spans.clear()
+                make_room(self._spans)
                 self._spans[span] = known
         return known
 
