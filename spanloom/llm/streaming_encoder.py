@@ -13,6 +13,7 @@ with that rule in place of the scores.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.batches import parts
-from spanloom.llm.pieces import CACHE_ENTRIES, PieceModel, load
+from spanloom.llm.batches import make_room, parts
+from spanloom.llm.pieces import PieceModel, load
 
 
 class Viterbi:
@@ -36,40 +37,53 @@ class Viterbi:
         self.last = [""]  # that piece; for the first position the one committed last
         self.score = [0.0]
 
-    def _step(self, i: int) -> None:
-        """The best path to position i of the buffer."""
-        m, text, most = self.model, self.buffer, self.model.longest
-        begin = i - most if i > most else 0
-        if m.kind == "bpe":
-            ids, pairs, last, reach, ends = m.ids, m.pairs, self.last, m._reach, m.ends
-            for j in range(i - 1, begin - 1, -1):
-                t = text[j:i]
-                if t not in ends and i - j > 1:
-                    break
-                if (reach[t] if t in reach else m.reachable(t)) if t in ids else i - j == 1:
-                    a = last[j]
-                    if a:
-                        ok = pairs[a].get(t) if a in pairs else None
-                        if not (m._pair(a, t) if ok is None else ok):
-                            continue
-                    self.back.append(j)
-                    last.append(t)
-                    return
-            raise AssertionError("a BPE model reaches every position")
-        best, at = None, i - 1
-        for j in range(begin, i):
-            t = text[j:i]
-            s = m.scores.get(t)
-            if s is None:
-                if i - j > 1:
+    def _alone(self, i: int) -> None:
+        """Position i where no piece ends: its character stands alone."""
+        self.back.append(i - 1)
+        self.last.append(self.buffer[i - 1])
+        if self.model.kind != "bpe":
+            self.score.append(self.score[i - 1] + self.model.floor)
+
+    def _extend(self, text: str) -> None:
+        """The best paths to the positions of more text: each piece that ends there is tried."""
+        m, back, last, score = self.model, self.back, self.last, self.score
+        at = len(self.buffer)
+        self.buffer += text
+        base = max(0, at - m.longest + 1)
+        bpe, pairs, scores = m.kind == "bpe", m.pairs, m.scores
+        for end, (size, t) in m.found(self.buffer[base:]):
+            i = base + end + 1
+            if i <= at:
+                continue
+            while len(back) < i:
+                self._alone(len(back))
+            j = i - size
+            if bpe:
+                if len(back) > i:
+                    continue
+                if a := last[j]:
+                    try:
+                        ok = pairs[a][t]
+                    except KeyError:
+                        ok = m._pair(a, t)
+                    if not ok:
+                        continue
+                back.append(j)
+                last.append(t)
+                continue
+            s = score[j] + scores[t]
+            if len(back) == i:
+                alone = self.buffer[i - 1] not in m.ids  # no piece of its own: it may stand alone too
+                if alone and score[i - 1] + m.floor > s:
+                    self._alone(i)
                     continue
-                s = m.floor
-            s += self.score[j]
-            if best is None or s > best:
-                best, at = s, j
-        self.back.append(at)
-        self.last.append(text[at:i])
-        self.score.append(best)
+                back.append(j)
+                last.append(t)
+                score.append(s)
+            elif s > score[i]:
+                back[i], last[i], score[i] = j, t, s
+        while len(back) <= len(self.buffer):
+            self._alone(len(back))
 
     def _boundary(self) -> int:
         """The last position that the paths of all positions of the window share."""
@@ -99,10 +113,7 @@ class Viterbi:
     def feed(self, text: str) -> list[int]:
         done, look = [], self.model.longest
         for k in range(0, len(text), look):
-            at = len(self.buffer)
-            self.buffer += text[k : k + look]
-            for i in range(at + 1, len(self.buffer) + 1):
-                self._step(i)
+            self._extend(text[k : k + look])
             if len(self.buffer) >= 2 * look and (at := self._boundary()):
                 done += self._emit(at)
         return done
@@ -129,10 +140,9 @@ class Encoder:
         v = Viterbi(self.model)
         ids = v.feed(span)
         ids += v.end()
-        known = np.asarray(ids, "<u4").tobytes()
+        known = struct.pack(f"<{len(ids)}I", *ids)
         if len(span) <= 64:
-            if len(self._spans) >= CACHE_ENTRIES:
-                self._spans.clear()
+            make_room(self._spans)
             self._spans[span] = known
         return known
 
@@ -159,43 +169,51 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids of every whole text: id, n_bytes, n_tokens, ids (array of int), decoded (from the ids alone).
+    """The ids of every whole text: id, n_bytes, n_tokens, ids (array of int),
+    round_trip (whether decoding the ids gives the text back).
 
     Null text counts as empty and has no ids.  Rows are independent: repeated
     rows repeat, an empty table gives none.  Only id and text are read.
     """
-    return _mapped(docs, model_path, id_col, text_col, True)
+    return _encoded(docs, model_path, id_col, text_col, "ids array<int>", pa.list_(pa.int32()), lambda ids: ids.astype(np.int32))
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of the same: id, n_bytes, n_tokens, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit integers), round_trip (whether decoding the
-    ids gives the text back).  Nulls as in ``encode_documents``.
-    """
-    return _mapped(docs, model_path, id_col, text_col, False)
+    """The same with ids_crc32, of the ids as little-endian unsigned 32-bit integers, in place of ids."""
+    return _encoded(docs, model_path, id_col, text_col, "ids_crc32 long", pa.int64(), lambda ids: zlib.crc32(ids.tobytes()))
 
 
-def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, whole: bool) -> DataFrame:
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, field: str, arrow: pa.DataType, of) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", "n_tokens", *(("ids", "decoded") if whole else ("ids_crc32", "round_trip"))]
+    names = [id_col, "n_bytes", "n_tokens", field.split()[0], "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         for b in batches:
             for part in parts(b):
-                size, n, x, y = [], [], [], []
+                size, n, x, same = [], [], [], []
                 for t in part.column(1):
                     t = t.as_py() or ""
                     ids = enc.encode(t)
-                    back = enc.model.decode(ids.tolist())
                     size.append(len(t.encode()))
                     n.append(len(ids))
-                    x.append(ids.astype(np.int32) if whole else zlib.crc32(ids.tobytes()))
-                    y.append(back if whole else back == t)
-                cols = [pa.array(size, pa.int64()), pa.array(n, pa.int64())]
-                cols += [pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.string())] if whole else [pa.array(x, pa.int64()), pa.array(y, pa.bool_())]
+                    x.append(of(ids))
+                    same.append(enc.model.decode(ids.tolist()) == t)
+                cols = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(x, arrow), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
 
     own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    rest = "ids array<int>, decoded string" if whole else "ids_crc32 long, round_trip boolean"
-    return own.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, {rest}")
+    return own.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, {field}, round_trip boolean")
+
+
+def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Texts from ids: id, text.  Null ids give a null text, no ids an empty one."""
+    kind = encoded.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(model_path)
+        for b in batches:
+            texts = [None if x is None else model.decode(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return encoded.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`")).mapInArrow(run, f"`{id_col}` {kind}, text string")
