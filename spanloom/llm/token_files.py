@@ -15,6 +15,7 @@ files belong to the output, so a lost or repeated task does no harm.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.llm.batches import parts
-from spanloom.llm.pieces import CACHE_ENTRIES
+from spanloom.llm.batches import make_room, parts
 from spanloom.session import cut, shared_dir
 
 BATCH_SEQUENCES = 256
@@ -46,61 +46,97 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.word = re.compile(r"\W*\w+|\W+")
         self.simple = self.library.normalizer is None and "ByteLevel" in str(self.library.pre_tokenizer) and "use_regex=True" in str(self.library.pre_tokenizer)
-        self._words: dict[str, bytes] = {}
+        # one Latin word, after a space or not, is one piece of text to the library's BPE
+        self.letters = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+        self.alphabet = _byte_alphabet()
+        self._words: dict[str, bytes] = {}  # of a space and the word
         self._parts: dict[str, bytes] = {}
 
     def _run(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run_parts(self, texts: list[str]) -> dict[str, bytes]:
+        out, rest, bpe = {}, [], self.library.model.tokenize
+        for t in texts:
+            if self.letters(t):
+                ids = [x.id for x in bpe(t.encode().decode("latin-1").translate(self.alphabet))]
+                out[t] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(t)
+        out.update(zip(rest, self._run(rest), strict=True))
+        return out
+
+    def _cut(self, span: str) -> list[str]:
+        return [span] if "_" in span else self.word.findall(span)
+
     def _learn(self, words: set[str]) -> None:
-        """Ids of spans between spaces, from those of their parts."""
-        if len(self._words) + len(words) > CACHE_ENTRIES:
-            self._words.clear()
-        cuts = {w: [w] if "_" in w else self.word.findall(w) for w in words}
-        new = {p for c in cuts.values() for p in c if p not in self._parts}
-        if len(self._parts) + len(new) > CACHE_ENTRIES:
-            self._parts.clear()
-            new = {p for c in cuts.values() for p in c}
-        self._parts.update(zip(new, self._run(list(new)), strict=True))
+        """Ids of words after a space, from those of their parts."""
+        make_room(self._words, len(words))
+        cuts = {w: self._cut(" " + w) for w in words}
+        self._learn_parts({p for c in cuts.values() for p in c})
         have = self._parts.__getitem__
         self._words.update((w, have(c[0]) if len(c) == 1 else b"".join(map(have, c))) for w, c in cuts.items())
 
+    def _learn_parts(self, wanted: set[str]) -> None:
+        new = [p for p in wanted if p not in self._parts]
+        make_room(self._parts, len(new))
+        self._parts.update(self._run_parts([p for p in wanted if p not in self._parts]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
+        whole: list[str] = []
+        firsts: list[list[str] | None] = []
+        rests: list[list[str]] = []
+        founds: list[list[bytes | None]] = []
+        new: set[str] = set()
         for t in texts:
-            words = None
-            if self.simple and not self.added.search(t):
-                words = t.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                if any(len(w) < 2 or w[-1].isspace() for w in words[:-1]):
-                    words = _joined(words)
-            cut.append(words)
-        whole = iter(self._run([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out = []
-        for c in cut:
-            if c is None:
-                out.append(next(whole))
+            if not self.simple or any(a in t for a in self.added):
+                whole.append(t)
+                firsts.append(None)
+                rests.append([])
+                founds.append([])
+                continue
+            words = t.split(" ")
+            if "" in words or any(x in t for x in BLANK_BEFORE_SPACE):
+                words = _joined(words)
+            firsts.append(self._cut(words[0]))
+            rests.append(words[1:])
+            founds.append(list(map(self._words.get, rests[-1])))
+            if None in founds[-1]:
+                new.update(w for w, f in zip(rests[-1], founds[-1], strict=True) if f is None)
+        self._learn(new)
+        self._learn_parts({p for c in firsts if c for p in c})
+        done, out, have, part = iter(self._run(whole)), [], self._words, self._parts.__getitem__
+        for first, rest, found in zip(firsts, rests, founds, strict=True):
+            if first is None:
+                out.append(next(done))
                 continue
-            found = list(map(self._words.get, c))
             if None in found:
-                self._learn({w for w, f in zip(c, found, strict=True) if f is None})
-                have = self._words
-                found = [have.get(w, f) if f is None else f for w, f in zip(c, found, strict=True)]
-            out.append(b"".join(found))
+                found = [have[w] if f is None else f for w, f in zip(rest, found, strict=True)]
+            out.append(b"".join([*map(part, first), *found]))
         return out
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte: visible Latin-1 ones for themselves, others from U+0100 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+#: ends of words where the space behind belongs to the same run of white space
+BLANK_BEFORE_SPACE = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
+
+
 def _joined(words: list[str]) -> list[str]:
-    """Undo cuts at spaces that don't follow a visible character."""
-    out: list[str] = []
-    for w in words:
-        if out and (not out[-1] or out[-1][-1].isspace()):
-            out[-1] += w
+    """Undo cuts at spaces that don't follow a visible character; all but the first lack their space."""
+    out = words[:1]
+    for w in words[1:]:
+        if not out[-1] or out[-1][-1].isspace():
+            out[-1] += " " + w
         else:
             out.append(w)
     return out
