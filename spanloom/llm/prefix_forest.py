@@ -5,9 +5,17 @@ rotation in descending order of size, each with its sign.  All strings of a
 tree in sorted order are its trie; strings next to a query's place share the
 longest prefix with it, and going outwards on both sides is going up the trie.
 A query descends at PROBES places a tree, each led by another of its large
-coordinates, and goes up in all trees alike until it has seen ``reach`` entries
-on either side of each place, a number that grows as the square root of the
-index.  What it has seen is scored exactly.
+coordinates, and sees ``reach`` entries on either side of each place, a number
+that grows as the square root of the index.  What it has seen is scored exactly.
+
+Whether that was enough is measured for each query: TRIALS random vectors as
+near to it as the last of its neighbours are hashed, and those whose string lies
+strictly between the ends of what was seen in some tree would have been found.
+Entries beyond an end, also with its string, don't count as seen, so a run of
+equal strings that is wider than the window, a window that a range's edge
+clips, and an index too large for ``reach`` all show.  If a smaller part than
+FOUND would have been found, the query goes up to the root: it is scored against
+the whole index, in blocks of ASKED_ROWS queries.
 
 Trees lie in one range-sorted table of (tree, string, id), split evenly however
 many strings are equal; a task holds one range.  Equal vectors enter as one,
@@ -31,6 +39,11 @@ TREES = 24
 PROBES = 8
 SALTS = 64
 RANGE_ROWS = 40_000
+TRIALS = 32
+FOUND = 0.95
+ASKED_ROWS = 8192
+DIGITS = 12
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def reach_for(n: int) -> int:
@@ -61,6 +74,72 @@ def _strings(x: np.ndarray, rotation: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
+def _would_find(x: np.ndarray, score: float, tree: np.ndarray, low: np.ndarray, high: np.ndarray, turn: np.ndarray, random: np.random.Generator) -> float:
+    """The part of random vectors at cosine ``score`` from the unit vector x whose
+    string is strictly between low and high at some place of its tree."""
+    u = random.normal(size=(TRIALS, len(x)))
+    u -= np.outer(u @ x, x)
+    size = np.linalg.norm(u, axis=1, keepdims=True)
+    u = np.divide(u, size, out=np.zeros_like(u), where=size > 1e-9)
+    score = min(1.0, max(-1.0, score))
+    y = score * x + math.sqrt(1 - score * score) * u
+    left = np.arange(TRIALS)
+    for t in np.unique(tree):
+        code = _strings(y[left], turn[t], 1)
+        here = tree == t
+        left = left[~((code > low[here]) & (code < high[here])).any(axis=1)]
+        if not len(left):
+            break
+    return 1 - len(left) / TRIALS
+
+
+def _against_all(index: DataFrame, open_: DataFrame, dim: int, k: int) -> DataFrame:
+    """(q, ids, score): the k + 1 nearest of each query (q, least, v) in each part of
+    the index (rep, ids, v), if not below ``least``."""
+    spark = index.sparkSession
+    blocks = max(1, math.ceil(open_.count() / ASKED_ROWS))
+    open_ = cut(open_.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
+    index = index.coalesce(4 * spark.sparkContext.defaultParallelism)
+    out = None
+    for block in range(blocks):
+        rows = open_.where(F.col("block") == block).collect()
+        if not rows:
+            continue
+        asked = np.asarray([r["v"] for r in rows])
+        asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+        asked = spark.sparkContext.broadcast((np.asarray([r["q"] for r in rows]), np.asarray([r["least"] for r in rows]), asked))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            q, least, x = asked.value
+            least = least.copy()
+            best: list = [None] * len(q)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    b = whole.slice(at, 1000)
+                    rep, ids = b.column(0).to_numpy(), b.column(1)
+                    y = b.column(2).flatten().to_numpy().reshape(-1, dim)
+                    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+                    for first in range(0, len(q), 1024):
+                        s = x[first : first + 1024] @ y.T
+                        row, col = np.nonzero(s >= least[first : first + 1024, None] - 10.0**-DIGITS)
+                        cuts = np.searchsorted(row, np.arange(min(1024, len(q) - first) + 1))
+                        for j in np.unique(row):
+                            here = col[cuts[j] : cuts[j + 1]]
+                            score = np.round(s[j, here], DIGITS)
+                            order = np.lexsort((rep[here], -score))[: k + 1]
+                            new = [(-float(score[o]), int(rep[here[o]]), ids[int(here[o])].as_py()) for o in order]
+                            best[first + j] = sorted((best[first + j] or []) + new)[: k + 1]
+                            if len(best[first + j]) == k + 1:
+                                least[first + j] = max(least[first + j], -best[first + j][-1][0])
+            got = [(int(q[j]), i, -s) for j, found in enumerate(best) for s, _, i in found or []]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64())], names=["q", "ids", "score"])
+
+        found = cut(index.select("rep", "ids", "v").mapInArrow(run, "q long, ids array<long>, score double"))
+        asked.unpersist()
+        out = found if out is None else out.union(found)
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): not null, every component finite, not all zero, of the most frequent dimension."""
     v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
@@ -88,7 +167,8 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     Queries are the rows whose id is divisible by ``every``, candidates all
     other rows.  Vectors that are null, zero, of another dimension than most or
     that hold null or non-finite components take no part.  Ties go to the
-    smaller id; fewer than k candidates give fewer rows.  Ids should be unique:
+    smaller id; scores are rounded to DIGITS digits, so that rounding errors
+    don't part them.  Fewer than k candidates give fewer rows.  Ids should be unique:
     rows that repeat id and vector count once.  An empty table, or one without
     usable vectors, gives no rows.
     """
@@ -105,6 +185,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     asked = cut(asked.join(reps.select("a", "b", "rep"), ["a", "b"]).select("query_id", "rep"))
     wanted = asked.select(F.col("rep").alias("q")).distinct()
     index = reps.select("rep", "ids").join(v, F.col("rep") == F.col("id")).join(wanted, F.col("rep") == F.col("q"), "left").select("rep", "ids", "v", F.col("q").isNotNull().alias("asked"))
+    index = cut(index)
     reach = reach_for(n)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,39 +215,66 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
         at = np.flatnonzero(~probe)  # the index entries, in order
         if not len(at) or not probe.any():
             return
-        y, y_norm, y_tree, y_rep = x[at], norm[at], tree[at], rep[at]
+        y, y_norm, y_tree, y_rep, y_code = x[at], norm[at], tree[at], rep[at], b["code"].to_numpy()[at]
         ids = b["ids"].combine_chunks()
         before = np.cumsum(~probe)
         found: dict[int, list] = {}
+        bounds: dict[int, list] = {}
         for p in np.flatnonzero(probe):
-            low, high = np.searchsorted(y_tree, tree[p], "left"), np.searchsorted(y_tree, tree[p], "right")
-            low, high = max(low, before[p] - reach), min(high, before[p] + reach)
+            start, end = np.searchsorted(y_tree, tree[p], "left"), np.searchsorted(y_tree, tree[p], "right")
+            low, high = max(start, before[p] - reach), min(end, before[p] + reach)
             if low >= high:
                 continue
-            s = (y[low:high] @ x[p]) / (y_norm[low:high] * norm[p])
+            # beside the first and last seen; the range before or after may go on with the string at an edge
+            below = y_code[low - 1] if low > start else y_code[0] if start == 0 else _LOW
+            above = y_code[high] if high < end else y_code[-1] if end == len(at) else _HIGH
+            bounds.setdefault(int(rep[p]), []).append((tree[p], below, above))
+            s = np.round((y[low:high] @ x[p]) / (y_norm[low:high] * norm[p]), DIGITS)
             best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
             least = s[best].min()
             best = np.flatnonzero(s >= least) if (s == least).sum() > 1 else best
             found.setdefault(int(rep[p]), []).append((low + best, s[best]))
-        q, r, score = [], [], []
+        out = []
         for query, got in found.items():
             pos, s = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
             order = np.lexsort((y_rep[pos], -s))
             pos, s = pos[order], s[order]
             _, one = np.unique(y_rep[pos], return_index=True)
             one = np.sort(one)[: k + 1]
-            q += [query] * len(one)
-            r += pos[one].tolist()
-            score += s[one].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), ids.take(pa.array(at[np.asarray(r, np.int64)])), pa.array(score, pa.float64())], names=["q", "ids", "score"])
+            near = [{"ids": i, "score": x} for i, x in zip(ids.take(pa.array(at[pos[one]])).to_pylist(), s[one].tolist(), strict=True)]
+            out.append((query, near, [{"tree": int(t), "low": int(lo), "high": int(hi)} for t, lo, hi in bounds[query]]))
+        kinds = [pa.int64(), pa.list_(pa.struct([("ids", pa.list_(pa.int64())), ("score", pa.float64())])), pa.list_(pa.struct([("tree", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))]
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=["q", "near", "places"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = _rotations(dim, trees)
+        for b in batches:
+            keep = []
+            for q, v, least, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.asarray(v) / np.linalg.norm(v)
+                tree, low, high = (np.asarray([p[c] for p in places or []], np.int64) for c in ("tree", "low", "high"))
+                keep.append(least == -2 or _would_find(x, least, tree, low, high, turn, np.random.default_rng(abs(q))) < FOUND)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1)], names=["q", "least", "v"]).filter(pa.array(keep, pa.bool_()))
 
     made = index.mapInArrow(entries, "tree int, code long, probe boolean, rep long, ids array<long>, v array<double>")
     ranges = max(1, math.ceil(n * trees / RANGE_ROWS))
     made = made.repartitionByRange(ranges, "tree", "code", "rep").sortWithinPartitions("tree", "code", "rep", "probe")
-    near = made.mapInArrow(seen, "q long, ids array<long>, score double")
-    near = near.select("q", F.explode("ids").alias("vec_id"), "score").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    seen_ = cut(made.mapInArrow(seen, "q long, near array<struct<ids:array<long>,score:double>>, places array<struct<tree:int,low:long,high:long>>"))
     order = [F.desc("score"), "vec_id"]
-    near = near.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1)
+
+    def best(rows: DataFrame) -> DataFrame:
+        rows = rows.select("q", F.explode("ids").alias("vec_id"), "score").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+        return rows.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1)
+
+    rows = seen_.select("q", F.explode("near").alias("x")).select("q", "x.ids", "x.score")
+    near = cut(best(rows))
+    least = near.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(-2.0).alias("least"))
+    places = seen_.groupBy("q").agg(F.flatten(F.collect_list("places")).alias("places"))
+    open_ = index.where("asked").select(F.col("rep").alias("q"), "v").join(least, "q", "left").join(places, "q", "left")
+    open_ = cut(open_.select("q", "v", F.coalesce("least", F.lit(-2.0)).alias("least"), "places").mapInArrow(judged, "q long, least double, v array<double>"))
+    all_ = _against_all(index, open_, dim, k)
+    if all_ is not None:
+        near = near.join(open_.select("q"), "q", "left_anti").select("q", "vec_id", "score").union(best(all_).select("q", "vec_id", "score"))
     near = near.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
     out = asked.join(near, F.col("rep") == F.col("q"))
     # the k + 1 best of its vector, without the query itself

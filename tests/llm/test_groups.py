@@ -151,6 +151,29 @@ def test_forest_recall(spark):
     assert hit / total >= 0.95
 
 
+def recall(spark, m, every=50, k=5):
+    """Recall of the forest by query, against all scores, ties to the smaller row."""
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    got = Counter((r["query_id"], r["vec_id"]) for r in prefix_forest.neighbours(rows, every, k).collect())
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hit = {}
+    for q in range(0, len(m), every):
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -2
+        hit[q] = np.mean([(q, i) in got for i in np.lexsort((np.arange(len(m)), -s))[:k].tolist()])
+    return hit
+
+
+@pytest.mark.parametrize("kind", ["near", "scaled"])
+def test_forest_in_a_group_wider_than_the_window(spark, kind):
+    r = np.random.default_rng(8)
+    m = r.normal(size=(6000, 32))
+    group = r.permutation(6000)[:2000]
+    m[group] = m[0] + 0.001 * r.normal(size=(2000, 32)) if kind == "near" else m[0] * r.uniform(0.5, 2, (2000, 1))
+    hit = recall(spark, m)
+    assert np.mean([hit[q] for q in group.tolist() if q in hit]) == 1 and np.mean(list(hit.values())) >= 0.95
+
+
 def crc(t):
     import zlib
 
