@@ -174,6 +174,12 @@ def test_forest_in_a_group_wider_than_the_window(spark, kind):
     assert np.mean([hit[q] for q in group.tolist() if q in hit]) == 1 and np.mean(list(hit.values())) >= 0.95
 
 
+def test_forest_recall_holds_if_reach_is_a_small_part(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "reach_for", lambda n: 4)
+    m = np.random.default_rng(9).normal(size=(8000, 32))
+    assert np.mean(list(recall(spark, m).values())) >= 0.95
+
+
 def crc(t):
     import zlib
 
