@@ -4,9 +4,10 @@ A word of the learned vocabulary adds its log frequency in each language.  Any
 other word backs off: at each of its characters the longest learned character
 n-gram that ends there speaks, from ``LONGEST`` characters down to one.  The
 tables come from a bounded sample of documents with a language (``SAMPLE`` rows
-by the hash of their id, outside the held-out fold); the vocabulary keeps the
-``WORDS`` most frequent words that occur twice and the ``GRAMS`` most frequent
-n-grams, so what is broadcast is bounded.
+by the hash of their id, outside the held-out fold), dealt evenly among the
+languages: one with few documents gives all of them.  The vocabulary keeps
+``WORDS`` words that occur twice and ``GRAMS`` n-grams, the most frequent of
+each language in turn, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanloom.llm.batches import CACHE_ENTRIES, parts
-from spanloom.llm.learning import fold, sampled
+from spanloom.llm.learning import fold
 from spanloom.session import cut
 
-SAMPLE = 4000
+SAMPLE = 8000
 HELD_OUT = (4, 2)
 WORDS = 50_000
 GRAMS = 40_000
@@ -109,13 +111,35 @@ class Scorer:
         return self.tables.languages[k], float(p[k] / p.sum())
 
 
+def _quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """At most ``most`` rows in all, as even among the languages as their counts allow."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(counts) - k))
+        left -= out[lang]
+    return out
+
+
+def _chosen(own: DataFrame, most: int) -> DataFrame:
+    """(chosen, lang): the sample, by language.  Only a few more rows than it
+    holds reach the task that ranks a language."""
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    quotas = _quotas({r["lang"]: r["n"] for r in counts}, most)
+    rows = [(r["lang"], quotas[r["lang"]], min(1.0, (1.5 * quotas[r["lang"]] + 100) / r["n"])) for r in counts]
+    wanted = own.sparkSession.createDataFrame(rows, "wanted string, quota int, part double")
+    own = own.withColumn("hash", F.xxhash64("id")).join(F.broadcast(wanted), F.col("lang") == F.col("wanted"))
+    own = own.where(F.col("hash") / 2.0**64 + 0.5 <= F.col("part"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))
+    return own.withColumn("nth", nth).where(F.col("nth") <= F.col("quota")).select(F.col("id").alias("chosen"), "lang")
+
+
 def fit(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables:
     """Tables from at most ``most`` documents.  Counts are made where the texts
     are and summed by word; the driver gets the bounded vocabulary.  Beyond the
-    LANGUAGES most frequent languages of the sample none is learned."""
+    LANGUAGES most frequent languages none is learned."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     own = own.where(F.col("id").isNotNull() & F.col("lang").isNotNull()).where(fold(F.col("id"), HELD_OUT[0]) != HELD_OUT[1])
-    chosen = sampled(own.groupBy("id").agg(F.min("lang").alias("lang")), "id", most).select(F.col("id").alias("chosen"), "lang")
+    chosen = _chosen(own.groupBy("id").agg(F.min("lang").alias("lang")), most)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("lang", "text")
 
@@ -134,11 +158,12 @@ def fit(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: s
                         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "kind": [kind] * len(found), "text": list(found), "n": pa.array(found.values(), pa.int64())})
 
     counts = texts.mapInArrow(count, "lang string, kind string, text string, n long").groupBy("kind", "text", "lang").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("nth", F.row_number().over(W.partitionBy("kind", "lang").orderBy(F.desc("n"), "text")))
     # at most one entry a language of the sample in each row
-    by_text = cut(counts.groupBy("kind", "text").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
+    by_text = cut(counts.groupBy("kind", "text").agg(F.sum("n").alias("all"), F.min("nth").alias("nth"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
     rows = []
     for kind, keep, least in (("w", WORDS, 2), ("g", GRAMS, 1)):
-        rows += by_text.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy(F.desc("all"), "text").limit(keep).collect()
+        rows += by_text.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy("nth", F.desc("all"), "text").limit(keep).collect()
     totals: Counter = Counter()
     for r in rows:
         totals.update(r["by"])

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from llm_data import DATA, HARD, document
+from llm_data import DATA, ENGLISH, HARD, document
 from spanloom.llm import boosted_trees, language_id, quality_classifier, quality_rules
 from spanloom.llm.text_stats import base, features
 from spanloom.session import table
@@ -117,6 +117,14 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
+def test_language_with_a_small_share_is_learned(spark):
+    rows = [(i, " ".join(f"{ENGLISH[(i * k) % len(ENGLISH)]}" for k in range(20)), "en") for i in range(3000)]
+    rows += [(9000 + i, "ceci est une phrase bien écrite dans une langue assez rare", "fr") for i in range(8)]
+    tables = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=20)
+    assert tables.languages == ["en", "fr"]
+    assert language_id.Scorer(tables).predict("une phrase bien écrite")[0] == "fr"
+
+
 def test_language_backs_off_to_shorter_grams():
     counts = {("w", "haus"): np.array([9.0, 1.0]), ("g", "ung>"): np.array([8.0, 0.0]), ("g", "x"): np.array([0.0, 5.0]), ("g", "y"): np.array([5.0, 0.0])}
     s = language_id.Scorer(language_id.Tables(["de", "en"], counts))
