@@ -95,6 +95,13 @@ def test_near_duplicates_on_hard_rows(hard, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rows = [(1, document(1)), (1, document(2)), (2, document(2) + " tail"), (None, document(3)), (None, document(3)), (None, document(1)), (None, document(4)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = Counter(map(tuple, jaccard_join.keep_one(df).collect()))
+    assert kept == Counter([(1, document(1)), (1, document(2)), (None, document(3)), (None, document(4)), (None, None)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
