@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,92 +33,80 @@ from spanloom.session import cut, shared_dir
 BATCH_SEQUENCES = 256
 
 
+#: code points by kind, in the writing of RE2: white space, the part of it that is not a space, and
+#: those whose kind no Unicode version in use disputes
+BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANK_NOT_SPACE = BLANK.replace(" ", "", 1)
+SETTLED = r"\x{2}-\x{377}\x{384}-\x{50f}\x{1e00}-\x{1eff}\x{2000}-\x{206f}\x{20a0}-\x{20ac}\x{2100}-\x{2189}\x{2190}-\x{23ff}\x{2500}-\x{27bf}\x{3000}-\x{3020}\x{3041}-\x{3096}\x{30a0}-\x{30ff}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}\x{1f300}-\x{1f5ff}\x{1f600}-\x{1f64f}"
+MARK = "\x01"
+
+
 class ByteEncoder:
     """Byte-level BPE ids of whole texts by the tokenizers library.
 
-    The library cuts a text before it merges: never inside a run of letters or
-    digits, always between such a run and what is neither, and always between a
-    visible character and a space.  So texts are cut there, and each distinct
-    span goes through the library once; texts that hold an added token go
-    through it whole.
+    The library cuts a text before it merges, and always around a run of letters
+    with the space before it, except where the run follows an apostrophe or two
+    white characters of which the last is no space.  So texts are cut into such
+    runs (there with what they follow) and what lies between; Arrow finds the
+    distinct parts of a batch, each new one goes through the library once, and
+    the ids are gathered for the whole batch.  Texts that hold an added token,
+    the cut mark or a character of disputed kind go through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.word = re.compile(r"\W*\w+|\W+")
-        self.simple = self.library.normalizer is None and "ByteLevel" in str(self.library.pre_tokenizer) and "use_regex=True" in str(self.library.pre_tokenizer)
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.hard = "|".join([f"[^{SETTLED}]", *added])
+        before = str(self.library.pre_tokenizer)
+        self.simple = self.library.normalizer is None and "ByteLevel" in before and "use_regex=True" in before and "add_prefix_space=False" in before
+        run = r"\p{L}+"
+        self.parts = rf"[{BLANK}]+[{BLANK_NOT_SPACE}]{run}|[{BLANK}]*[^{BLANK}\p{{L}}\p{{N}}]*'{run}| ?{run}"
         # one Latin word, after a space or not, is one piece of text to the library's BPE
         self.letters = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
         self.alphabet = _byte_alphabet()
-        self._words: dict[str, bytes] = {}  # of a space and the word
-        self._parts: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {"": b""}
 
     def _run(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _run_parts(self, texts: list[str]) -> dict[str, bytes]:
-        out, rest, bpe = {}, [], self.library.model.tokenize
-        for t in texts:
-            if self.letters(t):
-                ids = [x.id for x in bpe(t.encode().decode("latin-1").translate(self.alphabet))]
-                out[t] = struct.pack(f"<{len(ids)}I", *ids)
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of the parts, new ones kept."""
+        known = self._known
+        found = list(map(known.get, parts))
+        at = [k for k, x in enumerate(found) if x is None]
+        make_room(known, len(at))
+        rest, bpe, letters, alphabet = [], self.library.model.tokenize, self.letters, self.alphabet
+        for k in at:
+            p = parts[k]
+            if letters(p):
+                ids = [x.id for x in bpe(p.encode().decode("latin-1").translate(alphabet))]
+                known[p] = found[k] = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                rest.append(t)
-        out.update(zip(rest, self._run(rest), strict=True))
-        return out
-
-    def _cut(self, span: str) -> list[str]:
-        return [span] if "_" in span else self.word.findall(span)
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of words after a space, from those of their parts."""
-        make_room(self._words, len(words))
-        cuts = {w: self._cut(" " + w) for w in words}
-        self._learn_parts({p for c in cuts.values() for p in c})
-        have = self._parts.__getitem__
-        self._words.update((w, have(c[0]) if len(c) == 1 else b"".join(map(have, c))) for w, c in cuts.items())
-
-    def _learn_parts(self, wanted: set[str]) -> None:
-        new = [p for p in wanted if p not in self._parts]
-        make_room(self._parts, len(new))
-        self._parts.update(self._run_parts([p for p in wanted if p not in self._parts]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole: list[str] = []
-        firsts: list[list[str] | None] = []
-        rests: list[list[str]] = []
-        founds: list[list[bytes | None]] = []
-        new: set[str] = set()
-        for t in texts:
-            if not self.simple or any(a in t for a in self.added):
-                whole.append(t)
-                firsts.append(None)
-                rests.append([])
-                founds.append([])
-                continue
-            words = t.split(" ")
-            if "" in words or any(x in t for x in BLANK_BEFORE_SPACE):
-                words = _joined(words)
-            firsts.append(self._cut(words[0]))
-            rests.append(words[1:])
-            founds.append(list(map(self._words.get, rests[-1])))
-            if None in founds[-1]:
-                new.update(w for w, f in zip(rests[-1], founds[-1], strict=True) if f is None)
-        self._learn(new)
-        self._learn_parts({p for c in firsts if c for p in c})
-        done, out, have, part = iter(self._run(whole)), [], self._words, self._parts.__getitem__
-        for first, rest, found in zip(firsts, rests, founds, strict=True):
-            if first is None:
-                out.append(next(done))
-                continue
-            if None in found:
-                found = [have[w] if f is None else f for w, f in zip(rest, found, strict=True)]
-            out.append(b"".join([*map(part, first), *found]))
-        return out
+                rest.append(k)
+        for k, ids in zip(rest, self._run([parts[k] for k in rest]), strict=True):
+            known[parts[k]] = found[k] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none) as unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        hard = pc.match_substring_regex(texts, self.hard) if self.simple else pa.array([True] * len(texts), pa.bool_())
+        whole = iter(self._run(texts.filter(hard).to_pylist()))
+        marked = pc.replace_substring_regex(texts.filter(pc.invert(hard)), self.parts, f"{MARK}\\0{MARK}")
+        cuts = pc.split_pattern(marked, MARK)
+        found = cuts.flatten().dictionary_encode()
+        ids = self._learn(found.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        which = found.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        values = np.frombuffer(b"".join(ids), "<u4")[np.repeat(firsts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[cuts.offsets.to_numpy() - cuts.offsets[0].as_py()] if len(cuts) else np.zeros(1, np.int64)
+        easy = iter(range(len(cuts)))
+        return [np.frombuffer(next(whole), "<u4") if h else values[bounds[k := next(easy)] : bounds[k + 1]] for h in hard.to_pylist()]
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -127,21 +116,6 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-#: ends of words where the space behind belongs to the same run of white space
-BLANK_BEFORE_SPACE = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
-
-
-def _joined(words: list[str]) -> list[str]:
-    """Undo cuts at spaces that don't follow a visible character; all but the first lack their space."""
-    out = words[:1]
-    for w in words[1:]:
-        if not out[-1] or out[-1][-1].isspace():
-            out[-1] += " " + w
-        else:
-            out.append(w)
-    return out
-
-
 _encoders: dict[str, ByteEncoder] = {}
 
 
@@ -227,15 +201,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, w, first, last, n = encoder(tokenizer_path), None, None, None, 0
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = np.asarray([end_id], kind)
         for b in batches:
-            for part in parts(b, most=4_000_000):
-                texts = [t.as_py() or "" for t in part.column(1)]
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
+            for part in parts(b):
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     if w is None:
                         w, first = _Writer(folder, length, kind), doc_id
                     last, n = doc_id, n + 1
-                    w.add(doc_id, np.frombuffer(ids + end, "<u4").astype(kind))
+                    w.add(doc_id, np.concatenate([ids.astype(kind), end]))
         if w is not None:
             w.close()
             yield pa.RecordBatch.from_pydict({"file": [w.name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [n], "n_tokens": [w.total]})
