@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,6 +32,8 @@ from spanloom.llm.batches import make_room, parts
 from spanloom.session import cut, shared_dir
 
 BATCH_SEQUENCES = 256
+#: text for one file where the caller names no number of files
+FILE_BYTES = 256 << 20
 
 
 #: code points by kind, in the writing of RE2: white space, the part of it that is not a space, and
@@ -125,11 +128,25 @@ def encoder(path: str) -> ByteEncoder:
     return _encoders[path]
 
 
+#: schemes of Spark's stores by the names they have in pyarrow
+SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "abfss": "abfss", "abfs": "abfs", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def _uri(path: str) -> str:
+    """A path as pyarrow names it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return "file://" + path
+    if scheme not in SCHEMES:
+        raise ValueError(f"token files can't be written to {scheme}, only to {', '.join(SCHEMES)}")
+    return re.sub(r"^file:/+", "file:///", f"{SCHEMES[scheme]}:{rest}")
+
+
 def _store(path: str):
     """The file system of a path and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else "file://" + path)
+    return fs.FileSystem.from_uri(_uri(path))
 
 
 class _Writer:
@@ -192,12 +209,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     n_tokens, start (ids of all files before it).
 
     Null text counts as empty: its document is the end id alone.  Rows with one
-    id are documents of their own, next to each other; a null id comes first.
-    An empty table writes no file.  Other columns are not read.
+    id are documents of their own, next to each other, in the order of their
+    texts' checksums, so a rerun gives each the same place; a null id comes
+    first.  An empty table writes no file.  Other columns are not read.
+
+    Without ``files`` there is one for FILE_BYTES of text, so a task's sort and
+    file stay bounded as the input grows; equal rows share one.
     """
     spark = docs.sparkSession
     kind = np.dtype("<u2") if _vocabulary(tokenizer_path, end_id) <= 1 << 16 else np.dtype("<u4")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, w, first, last, n = encoder(tokenizer_path), None, None, None, 0
@@ -211,13 +234,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                     w.add(doc_id, np.concatenate([ids.astype(kind), end]))
         if w is not None:
             w.close()
-            yield pa.RecordBatch.from_pydict({"file": [w.name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [n], "n_tokens": [w.total]})
+            yield pa.RecordBatch.from_pydict({"range": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [w.name], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [n], "n_tokens": [w.total]})
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    own = own.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    written = cut(own.mapInArrow(run, "file string, first_id long, last_id long, n_docs long, n_tokens long"))
-    before = W.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    return written.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")), F.xxhash64("text"), F.col("text").isNull()]
+    own = own.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    written = cut(own.mapInArrow(run, "range int, file string, first_id long, last_id long, n_docs long, n_tokens long"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    return written.select("file", "first_id", "last_id", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
 
 
 def _vocabulary(path: str, end_id: int) -> int:
@@ -237,7 +261,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, id_c
                 yield from _read(folder, name, start, id_col)
 
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "start").repartition(files, "file").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(max(files, manifest.count()), "file").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def _values(fs, path: str) -> Iterator[np.ndarray]:

@@ -152,3 +152,22 @@ def test_token_files_round_trip(spark, hard, empty):
 def test_model_tables():
     m = PieceModel(MODEL)
     assert m.kind == "bpe" and m.plain and m.cut_spaces and m.cut_letters and m.longest == 16
+
+
+def test_token_files_of_rows_with_one_id_keep_their_places(spark):
+    rows = [(5, f"text {k}") for k in range(40)] + [(None, "a"), (None, "b"), (1, None), (1, "")]
+    seen = []
+    for parts in (1, 5, 3):
+        folder = output_folder(spark)
+        manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), BYTES, folder, files=4, length=16)
+        assert manifest.count() > 2  # one id is split among files
+        seen.append(Counter(map(tuple, read_token_files(spark, manifest, folder).collect())))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_token_files_know_their_stores():
+    from spanloom.llm.token_files import _uri
+
+    with pytest.raises(ValueError, match="only to"):
+        _uri("ftp://host/x")
+    assert [_uri(x) for x in ("/tmp/x", "file:/tmp/x", "s3a://bucket/x")] == ["file:///tmp/x", "file:///tmp/x", "s3://bucket/x"]
