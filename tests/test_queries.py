@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from conftest import DATA
+from engine_data import DATA
 from spanloom.plans import registry
 
 SF = f"{DATA}/sf0.001"
