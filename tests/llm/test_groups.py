@@ -67,8 +67,9 @@ def test_links_by_counts_and_by_products(monkeypatch):
     want = np.array([[a != b and len(np.intersect1d(x, y)) >= 0.5 * len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
     for dense in (1, 24, 1000):
         monkeypatch.setattr(jaccard_join, "DENSE", dense)
-        assert (jaccard_join._links(sets, None, 0.5) == want).all()
-        cross = jaccard_join._links(sets[:20], sets[20:], 0.5)
+        linked, similar = jaccard_join._links(sets, None, 0.5)
+        assert (linked == want).all() and similar.sum() * 2 == want.sum() and not similar[:50].any()
+        cross, _ = jaccard_join._links(sets[:20], sets[20:], 0.5)
         assert (cross[:20, 20:] == want[:20, 20:]).all() and not cross[:20, :20].any()
 
 
@@ -79,11 +80,80 @@ def test_prefix_reaches_its_recall():
     hits = []
     for _ in range(60):
         base = r.integers(0, 1 << 63, 400).astype(np.uint64)
-        a, b = np.unique(base[:360]), np.unique(base[40:])
-        hits.append((jaccard_join.signature(a, k) == jaccard_join.signature(b, k)).any())
+        (a, _), (b, _) = (jaccard_join.signature(np.unique(x)) for x in (base[:360], base[40:]))
+        hits.append((a == b).any())
     assert all(hits)
 
 
+def test_strings_share_prefixes_as_often_as_sets_are_similar():
+    r, length = np.random.default_rng(7), []
+    for _ in range(200):
+        base = r.integers(0, 1 << 63, 400).astype(np.uint64)
+        (a, c), (b, d) = (jaccard_join.signature(np.unique(x)) for x in (base[:360], base[40:]))  # 320 of 400
+        length += [jaccard_join.shared_symbols(np.array([w, x]), np.array([y, z]))[1] for w, x, y, z in zip(a, b, c, d, strict=True)]
+    length = np.asarray(length)
+    for k in (1, 4, 8, 12):
+        assert abs((length >= k).mean() - 0.8**k) < 0.03
+    assert jaccard_join.shared_symbols(np.array([5, 5, 6, -1]), np.array([1, 1 << 24, 0, 0], np.int32)).tolist() == [-1, 8, 7, 0]
+
+
+def nodes_by_hand(strings, lengths):
+    """Which sets hang together by prefixes of each length, straight from the strings."""
+    out = {}
+    for k in lengths:
+        groups = {}
+        for tree, high, low, v in strings:
+            text = (high % 2**64).to_bytes(8, "big") + (low % 2**32).to_bytes(4, "big")
+            groups.setdefault((tree, text[:k]), set()).add(v)
+        root = {v: v for *_, v in strings}
+        for _ in range(60):
+            for g in groups.values():
+                least = min(root[v] for v in g)
+                root.update((v, least) for v in g)
+        out[k] = {v: c for v, c in root.items() if list(root.values()).count(c) > 1}
+    return out
+
+
+def test_nodes_of_the_tries_across_ranges(spark):
+    r = np.random.default_rng(3)
+    some = r.integers(-(2**63), 2**63, 4)
+    strings = [(t, int(some[r.integers(4)] ^ (r.integers(4) << r.integers(0, 30))), int(r.integers(3) << r.integers(0, 29)), v) for t in range(3) for v in range(60)]
+    df = spark.createDataFrame(strings, "tree int, high long, low int, v long")
+    want = nodes_by_hand(strings, (12, 10, 8))
+    for n in (1, 7, 40):  # ranges of a few rows cut nodes
+        nodes = jaccard_join._nodes(df.repartitionByRange(n, "tree", "high", "low", "v").sortWithinPartitions("tree", "high", "low", "v"), [12, 10, 8])
+        for k in (12, 10, 8):
+            assert dict(map(tuple, components(nodes.where(f"length >= {k}").select("a", "b")).collect())) == want[k]
+
+
+def test_prefixes_are_shortened_until_the_recall_holds():
+    strong, weak = np.zeros(101), np.zeros(101)
+    strong[98], weak[81] = 10**7, 10**7
+    need = lambda counts, k: jaccard_join.unseen(counts, 0.8, k) <= (1 - jaccard_join.RECALL) * counts.sum()
+    assert need(strong, 12) and not need(weak, 12) and not need(weak, 10) and need(weak, 8)
+    assert not need(np.zeros(101), 12)  # nothing found proves nothing
+
+
+def test_join_against_brute_force_on_documents(spark):
+    """All links of the small table's documents, by counting common shingles in Spark."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    sets = {r["doc_id"]: jaccard_join.shingles(r["text"] or "") for r in docs.collect()}
+    owners = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            owners.setdefault(x, []).append(i)
+    common = Counter()
+    for found in owners.values():
+        common.update((a, b) for k, a in enumerate(found) for b in found[k + 1 :])
+    links = Counter()
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links.update((a, b))
+    got = {r["doc_id"]: r["n_linked_docs"] for r in jaccard_join.near_duplicates(docs).collect()}
+    total, seen = sum(links.values()), sum(min(n, got[i]) for i, n in links.items())
+    assert total > 100 and seen >= 0.999 * total and all(n <= links[i] for i, n in got.items())
+
+
 def test_near_duplicates_on_hard_rows(hard, empty):
     rows = jaccard_join.near_duplicates(hard).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, *_ in HARD)
