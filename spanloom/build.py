@@ -11,22 +11,31 @@ from spanloom.session import cut
 from spanloom.sources import ast_xml
 
 
-def build(files: DataFrame, trees: DataFrame, intent: bool = False) -> dict[str, DataFrame]:
-    """All relations from files (path, ..., text) and trees (file, language, xml).
+def extract(files: DataFrame, trees: DataFrame, intent: bool = False) -> dict[str, DataFrame]:
+    """What each file owns, from files (path, ..., text) and trees (file, language, xml).
 
-    Trees are walked once and kept in the shared folder, as three relations
+    Trees are walked once and kept in the shared folder, as several relations
     come from that walk.  With ``intent`` dotted calls are resolved too.
     """
     rows = cut(ast_xml.walked(trees, intent))
-    nodes, raw, sinks = ast_xml.nodes_of(rows), ast_xml.calls_of(rows), ast_xml.sinks_of(rows)
-    code = imp.code_lines(files.select(F.col("path").alias("file"), "language", "text"))
-    imports = imp.imports(code, intent)
-    modules = imp.merged_modules(imp.node_modules(nodes), imp.file_modules(code, intent))
+    calls, sinks = ast_xml.calls_of(rows), ast_xml.sinks_of(rows)
     if intent:
-        raw = raw.unionByName(sinks.where("src <> ''").select("src", "callee_name", F.lit("calls").alias("kind"), "file", "line"))
-    edges = resolve(raw, nodes, imports, modules, imp.var_map(code, intent))
+        calls = calls.unionByName(sinks.where("src <> ''").select("src", "callee_name", F.lit("calls").alias("kind"), "file", "line"))
+    code = imp.code_lines(files.select(F.col("path").alias("file"), "language", "text"), intent)
     return {
-        "files": files.select("path", "abs_path", "language", "size", "mtime", "is_test"),
-        "nodes": nodes, "edges": edges.select("src", "dst", "kind", "file", "line"), "sinks": sinks, "imports": imports, "mod_map": modules,
-        "manifest": files.select("path", "mtime"), "parse_errors": ast_xml.errors_of(rows),
+        "files": files.select("path", "abs_path", "language", "size", "mtime", "is_test"), "nodes": ast_xml.nodes_of(rows), "calls": calls, "sinks": sinks,
+        "imports": imp.imports(code, intent), "modules": imp.file_modules(code, intent), "vars": imp.var_map(code, intent), "parse_errors": ast_xml.errors_of(rows),
     }
+
+
+def derived(owned: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What follows from all files together: the module map, resolved edges, the manifest."""
+    modules = imp.merged_modules(imp.node_modules(owned["nodes"]), owned["modules"])
+    edges = resolve(owned["calls"], owned["nodes"], owned["imports"], modules, owned["vars"])
+    return {"mod_map": modules, "edges": edges.select("src", "dst", "kind", "file", "line", "call_file", "call_line"), "manifest": owned["files"].select("path", "mtime")}
+
+
+def build(files: DataFrame, trees: DataFrame, intent: bool = False) -> dict[str, DataFrame]:
+    """All relations of a code graph."""
+    owned = extract(files, trees, intent)
+    return owned | derived(owned)

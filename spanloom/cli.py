@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import tools
-from spanloom.build import build
+from spanloom.build import derived, extract
 from spanloom.functions.names import package_contains
 from spanloom.operators import aggregates, graph, grep, search
 from spanloom.sources import ast_xml, store
-from spanloom.sources.scan import scan
+from spanloom.sources.langs import LANGUAGES
+from spanloom.sources.scan import read_texts, scan
 from spanloom.streaming import watch
 
 INDEX = ".spanloom"
@@ -43,16 +44,12 @@ def show(rows: DataFrame, *cols: str) -> None:
         print("\t".join("" if x is None else str(x) for x in r))
 
 
-def lines(spark: SparkSession, index: dict[str, DataFrame], hits: DataFrame | None = None) -> DataFrame:
-    """The live lines of the indexed files, or of those that have hits."""
+def lines(index: dict[str, DataFrame], hits: DataFrame | None = None) -> DataFrame:
+    """The live lines of the indexed files, or of those that have hits, read where the rows are."""
     files = index["files"].select("abs_path", F.col("path").alias("file"))
     if hits is not None:
-        files = files.join(hits.select("file").distinct(), "file", "left_semi")
-    paths = [r["abs_path"] for r in files.select("abs_path").toLocalIterator() if os.path.exists(r["abs_path"])]
-    if not paths:
-        return spark.createDataFrame([], "file string, line int, content string")
-    raw = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("abs_path"), F.col("value").alias("text"))
-    return grep.lines_of(raw.join(files, "abs_path").select("file", "text"))
+        files = files.join(hits.select("file").distinct(), "file", "left_semi").select("abs_path", "file")
+    return grep.lines_of(read_texts(files))
 
 
 def run(args: list[str]) -> int:
@@ -77,6 +74,9 @@ def run(args: list[str]) -> int:
     v.add_argument("name")
     v.add_argument("--pkg", default="*")
     verbs.add_parser("grep", add_help=False)
+    verbs.add_parser("setup")
+    if args and args[0].startswith("grep") and args[0] != "grep":  # grepFLAGS stands for grep -FLAGS
+        args = ["grep", "-" + args[0][4:].lstrip("-"), *args[1:]]
     o, rest = p.parse_known_args(args[:1] if args[:1] == ["grep"] else args)
     if o.verb == "grep":
         rest = args[1:]
@@ -91,6 +91,10 @@ def run(args: list[str]) -> int:
         return 1
     index = store.load(spark, folder)
     nodes = index["nodes"]
+    if o.verb == "setup":  # the languages of the index, and the elements a tree of each must name
+        for r in aggregates.languages(index["files"]).orderBy("language").collect():
+            print(r["language"], ",".join(LANGUAGES[r["language"]].declarations), sep="\t")
+        return 0
     if o.verb == "list":
         show(aggregates.summary(index["files"], nodes, index["edges"]), "kind", "cnt")
         show(aggregates.distribution(nodes).orderBy("letter"), "letter", "cnt")
@@ -102,7 +106,7 @@ def run(args: list[str]) -> int:
         if o.callers:
             show(graph.callers(index["edges"], nodes, hits).orderBy("dst", "caller_id"), "dst", "caller_name", "file", "line")
         if o.callees:
-            show(graph.callees(index["edges"], nodes, hits).orderBy("src", "callee_id"), "src", "callee_name", "file", "line")
+            show(graph.callees(index["edges_by_src"], nodes, hits).orderBy("src", "callee_id"), "src", "callee_name", "file", "line")
     elif o.verb == "outline":
         show(aggregates.outline(nodes, o.file), "line", "name", "file")
     elif o.verb == "sinks":
@@ -119,26 +123,35 @@ def run(args: list[str]) -> int:
         g = grep.parse(rest)
         hits = search.query(nodes, g.pattern, g.ignore_case)
         whole = g.text or hits.isEmpty()
-        if not g.quiet:
-            show(grep.grep(nodes, lines(spark, index, None if whole else hits), g), "printed")
+        found = None if whole else hits
+        if g.quiet:  # the exit code alone
+            return 0 if grep.any_hit(nodes, lines(index, found), g) else 1
+        show(grep.grep(nodes, lines(index, found), g), "printed")
     return 0
 
 
 def _index(spark: SparkSession, o: argparse.Namespace) -> int:
     folder = os.path.join(os.path.abspath(o.path), INDEX)
 
-    def graph_of(files: DataFrame) -> dict[str, DataFrame]:
+    def inputs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         documents = spark.read.text(o.trees, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("xml"))
-        return build(files, ast_xml.batch_files(documents, files), o.intent)
+        return files, ast_xml.batch_files(documents, files)
 
-    built = graph_of(scan(spark, o.path, texts=True))
-    store.save({k: v for k, v in built.items() if k in store.TABLES}, folder)
-    show(aggregates.summary(built["files"], built["nodes"], built["edges"]), "kind", "cnt")
+    store.save(extract(*inputs(scan(spark, o.path, texts=True)), o.intent), folder)
+    index = store.load(spark, folder)
+    store.save(derived(index), folder)  # from the stored tables, so that texts are read once
+    index = store.load(spark, folder)
+    show(aggregates.summary(index["files"], index["nodes"], index["edges"]), "kind", "cnt")
     if o.verb == "watch":
-        again = lambda written: {k: v for k, v in graph_of(scan(spark, o.path, texts=True).join(written, "path", "left_semi")).items() if k in watch.OWNED}
+        again = lambda written: extract(*inputs(scan(spark, o.path, texts=True).join(written, "path", "left_semi")), o.intent)
+        spark.streams.addListener(watch.Errors(lambda name, error: print(f"{name}: {error}", file=sys.stderr)))
         watch.watch(spark, o.path, folder, os.path.join(folder, "_state"), again).awaitTermination()
     return 0
 
 
-if __name__ == "__main__":
+def main() -> None:
     sys.exit(run(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    main()

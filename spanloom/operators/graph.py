@@ -25,16 +25,31 @@ def _named(nodes: DataFrame, prefix: str) -> DataFrame:
     return nodes.select(F.col("id").alias(f"{prefix}_id"), F.col("name").alias(f"{prefix}_name"), F.col("file").alias(f"{prefix}_file"), F.col("line").alias(f"{prefix}_line"))
 
 
+def _met(hit: DataFrame, nodes: DataFrame, end: str, role: str, own: str) -> DataFrame:
+    """Edges with the node at one end."""
+    return hit.join(_named(nodes, role), F.col(end) == F.col(f"{role}_id")).select(own, *(f"{role}_{x}" for x in ("id", "name", "file", "line")), "file", "line")
+
+
 def callers(edges: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each edge into a target (a column id); edges from unknown nodes drop out."""
     hit = edges.join(targets.select(F.col("id").alias("dst")).distinct(), "dst")
-    return hit.join(_named(nodes, "caller"), F.col("src") == F.col("caller_id")).select("dst", "caller_id", "caller_name", "caller_file", "caller_line", "file", "line")
+    return _met(hit, nodes, "src", "caller", "dst")
 
 
 def callees(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """One row for each edge out of a source; edges to unknown nodes drop out."""
     hit = edges.join(sources.select(F.col("id").alias("src")).distinct(), "src")
-    return hit.join(_named(nodes, "callee"), F.col("dst") == F.col("callee_id")).select("src", "callee_id", "callee_name", "callee_file", "callee_line", "file", "line")
+    return _met(hit, nodes, "dst", "callee", "src")
+
+
+def callers_of(edges: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
+    """The callers of one node; the filter reaches the scan of edges, sorted by dst."""
+    return _met(edges.where(F.col("dst") == node_id), nodes, "src", "caller", "dst")
+
+
+def callees_of(edges: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
+    """What one node calls; best over edges sorted by src."""
+    return _met(edges.where(F.col("src") == node_id), nodes, "dst", "callee", "src")
 
 
 def sinks_of(sinks: DataFrame, node_id: str) -> DataFrame:
@@ -84,8 +99,8 @@ def reachable(edges: DataFrame, sinks: DataFrame, starts: DataFrame, pattern: st
 
 def rendered(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Paths with ids replaced by names where known: adds ``shown``, joined by arrows."""
-    rows = paths.withColumn("row", F.xxhash64("start", "node", "callee_name", "path"))
-    steps = rows.select("row", F.posexplode("path").alias("pos", "step")).distinct()
+    key = ["start", "node", "callee_name"]
+    steps = paths.select(*key, F.posexplode("path").alias("pos", "step")).distinct()
     named = steps.join(nodes.groupBy(F.col("id").alias("step")).agg(F.max("name").alias("name")), "step", "left")
-    shown = named.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", "step").alias("n")))), lambda x: x["n"]), " -> ").alias("shown"))
-    return rows.join(shown, "row").drop("row")
+    shown = named.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", "step").alias("n")))), lambda x: x["n"]), " -> ").alias("shown"))
+    return paths.join(shown, key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -166,6 +166,12 @@ def printed(got: DataFrame, o: GrepOptions) -> DataFrame:
     return got.select("file", "line", text.alias("printed"))
 
 
+def any_hit(nodes: DataFrame, lines: DataFrame, o: GrepOptions) -> bool:
+    """Whether a call finds anything: what its exit code says."""
+    o = replace(o, count=False, quiet=False)
+    return not grep(nodes, lines, o).isEmpty()
+
+
 def grep(nodes: DataFrame, lines: DataFrame, o: GrepOptions) -> DataFrame:
     """The printed lines of a call, in order; the count alone with ``count``."""
     if o.text:

@@ -12,20 +12,24 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.names import base_name, dir_name, module_path, trimmed
 
+# fixed values: what counts as an import, a quoted string, a variable with a type
 FROM = r"^from\s+([\w.]+)\s+import\s+(.+)"
 IMPORT = r"^import\s+([\w.]+)(?:\s+as\s+(\w+))?"
 QUOTED = r'"([^"]+)"'
 LINE_LIMIT = 65_536
 
 
-def code_lines(files: DataFrame) -> DataFrame:
+def code_lines(files: DataFrame, intent: bool = False) -> DataFrame:
     """(file, language, line, content) of (file, language, text).
 
-    A line of LINE_LIMIT bytes or more ends the file, as its reader gives up there.
+    A line of LINE_LIMIT bytes or more ends the file, as its reader gives up
+    there; with ``intent`` nothing does.
     """
-    rows = files.select("file", "language", F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw"))
-    cut = files.select("file", "language", F.expr(f"array_position(transform(split(text, '\\r?\\n'), x -> octet_length(x) >= {LINE_LIMIT}), true)").alias("end"))
-    rows = rows.join(cut.where("end > 0").select("file", "end"), "file", "left").where("end is null or pos + 1 < end")
+    cut = F.split("text", "\r?\n")
+    if not intent:
+        end = F.array_position(F.transform(cut, lambda x: F.octet_length(x) >= LINE_LIMIT), True)
+        cut = F.when(end > 0, F.slice(cut, F.lit(1), (end - 1).cast("int"))).otherwise(cut)
+    rows = files.select("file", "language", F.posexplode(cut).alias("pos", "raw"))
     rows = rows.select("file", "language", (F.col("pos") + 1).alias("line"), trimmed(F.col("raw")).alias("content"))
     return code_only(rows)
 
@@ -147,7 +151,7 @@ def merged_modules(from_nodes: DataFrame, from_files: DataFrame) -> DataFrame:
     return rows.groupBy("module").agg(F.min(F.struct("prio", "file", "path")).alias("best")).select("module", "best.path")
 
 
-# variable = Type(, variable: Type, variable: List[Type; Type variable =, List<Type> variable
+# fixed values: variable = Type(, variable: Type, variable: List[Type; Type variable =, List<Type> variable
 ASSIGN = r"(\w+)\s*=\s*(\w+)\("
 PARAM = r"(\w+)\s*:\s*(\w+)"
 GENERIC = r"(\w+)\s*:\s*(?:List|Optional|Dict)\[(\w+)"

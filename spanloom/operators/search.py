@@ -93,8 +93,10 @@ def query(nodes: DataFrame, name: str, ignore_case: bool = False) -> DataFrame:
 
     A pattern that only ends in ``*`` asks for a prefix (without a hit and with
     ignore_case, once more with its first letter in upper case); one with other
-    marks is a glob.  Both are final.  Else one pass gives every row its best
-    tier, and a one-row aggregate keeps the best tier that occurs.
+    marks is a glob.  Both are final.  Else exact names are looked up first: the
+    filter reaches the scan, and if there is one, that is the answer.  If not,
+    one pass gives every row its best tier, and a one-row aggregate keeps the
+    best that occurs.
     """
     if not name:
         return nodes.where(F.lit(False))
@@ -108,6 +110,9 @@ def query(nodes: DataFrame, name: str, ignore_case: bool = False) -> DataFrame:
         return found.unionByName(again.join(F.broadcast(none.where("none")), how="left_semi", on=F.lit(True)))
     if re.search(r"[*?\[]", name):
         return glob(nodes, name)
+    same = exact(nodes, name, ignore_case)
+    if not same.isEmpty():
+        return same
     ranked = nodes.withColumn("tier", tier(name, ignore_case)).where("tier is not null")
     best = ranked.agg(F.min("tier").alias("best"))
     return ranked.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("tier", "best")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: schemes of Spark's stores by the names they have in pyarrow
+SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "abfss": "abfss", "abfs": "abfs", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def store_uri(path: str) -> str:
+    """A path as pyarrow names it, for what Python workers read and write themselves."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return "file://" + os.path.abspath(path)
+    if scheme not in SCHEMES:
+        raise ValueError(f"Python workers can't reach {scheme}, only {', '.join(SCHEMES)}")
+    return re.sub(r"^file:/+", "file:///", f"{SCHEMES[scheme]}:{rest}")

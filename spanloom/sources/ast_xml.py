@@ -8,13 +8,16 @@ type, from which the three relations are filters.
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from xml.sax.saxutils import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from spanloom.functions.names import package
 from spanloom.sources.langs import CALLABLES, LANGUAGES, Language
@@ -35,19 +38,12 @@ def name_of(e: ET.Element, tags: tuple[str, ...], intent: bool = False) -> str:
     children in order, the first with a text of its own or a name inside.  With
     ``intent`` the child marked as the name comes before all.
     """
-    if e.get("name") and e.tag in tags:
+    if e.tag in tags and e.get("name"):
         return e.get("name")
-    if intent:
-        for c in e:
-            if c.get("field") == "name" and (found := _text(c) or name_of(c, tags)):
-                return found
-    for only in ("identifier", None):
-        for c in e:
-            if only in (None, c.tag):
-                found = (c.tag in tags and _text(c)) or name_of(c, tags)
-                if found:
-                    return found
-    return ""
+    inside = lambda c: (_text(c) if c.tag in tags else "") or name_of(c, tags)
+    marked = [c for c in e if c.get("field") == "name"] if intent else []
+    order = [*marked, *e.findall("identifier"), *e]
+    return next(filter(None, map(inside, order)), "")
 
 
 def dotted_of(e: ET.Element) -> str:
@@ -132,25 +128,48 @@ def walked(files: DataFrame, intent: bool = False) -> DataFrame:
     return files.select("file", "language", "xml").mapInArrow(run, WALKED)
 
 
+_SOURCE = re.compile(r"<source\b[^>]*?\bname=(\"[^\"]*\"|'[^']*').*?(?=<source\b|</sources>|\Z)", re.S)
+
+
+def _sources(xml: str) -> list[tuple[str, str]]:
+    """(name, document) of every source; those of a broken document are cut out one by one, so
+    that each stands or fails on its own."""
+    try:
+        return [(s.get("name"), f"<sources>{ET.tostring(s, 'unicode')}</sources>") for s in ET.fromstring(xml or "<sources/>").iter("source")]
+    except ET.ParseError:
+        return [(unescape(m.group(1)[1:-1]), f"<sources>{m.group(0)}</sources>") for m in _SOURCE.finditer(xml)]
+
+
 def batch_files(documents: DataFrame, files: DataFrame) -> DataFrame:
     """(file, language, xml) of every source in (xml) that names a file's abs_path.
 
-    Sources of other names are left out; each document holds many sources.
+    Sources of other names are left out; each document holds many sources.  A
+    source that can't be read becomes an error row of its file in ``walked``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for xml in b.column(0).to_pylist():
-                try:
-                    rows += [(s.get("name"), f"<sources>{ET.tostring(s, 'unicode')}</sources>") for s in ET.fromstring(xml or "<sources/>").iter("source")]
-                except ET.ParseError:
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["abs_path", "xml"])
+                rows = _sources(xml)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["abs_path", "xml"])
 
     return documents.select("xml").mapInArrow(run, "abs_path string, xml string").join(files.select("abs_path", F.col("path").alias("file"), "language"), "abs_path").select("file", "language", "xml")
 
 
+def register_sql(spark) -> None:
+    """The SQL table function ``ast_walk(file, language, xml)``: the rows of a tree, by kind."""
+
+    @udtf(returnType=WALKED)
+    class AstWalk:
+        def eval(self, file: str, language: str, xml: str):
+            try:
+                yield from walk(xml or "<sources/>", file, language)
+            except (ET.ParseError, ValueError) as e:
+                yield file, 0, "error", "", str(e), 0, 0, language
+
+    spark.udtf.register("ast_walk", AstWalk)
+
+
 def nodes_of(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'node'").select("id", "name", "file", "line", "column")
 

@@ -30,7 +30,7 @@ LANGUAGES = {
         Language("rust", (".rs",), ("function_item", "struct_item", "enum_item", "trait_item", "impl_item"), callees=(*CALLEE_TAGS, "scoped_identifier"), tests=("test",)),
         Language("javascript", (".js", ".jsx", ".mjs", ".cjs"), _JS, callees=(*CALLEE_TAGS, "member_expression"), tests=(".test.", ".spec.")),
         Language("typescript", (".ts", ".tsx", ".mts", ".cts"), (*_JS, "interface_declaration", "enum_declaration", "type_alias_declaration"), callees=(*CALLEE_TAGS, "member_expression"), tests=(".test.", ".spec.")),
-        Language("java", (".java",), tuple(f"{k}_declaration" for k in ("method", "class", "interface", "enum", "constructor", "field")), ("method_invocation", "object_creation_expression"), tests=("Test.java", "Tests.java")),
+        Language("java", (".java",), ("method_declaration", "class_declaration", "interface_declaration", "enum_declaration", "constructor_declaration", "field_declaration"), ("method_invocation", "object_creation_expression"), tests=("Test.java", "Tests.java")),
         Language("c", (".c", ".h"), _C),
         Language("cpp", (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"), (*_C, "class_specifier", "struct_specifier")),
     )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from spanloom.functions.names import base_name
+from spanloom.session import store_uri
 from spanloom.sources.langs import BY_EXTENSION, LANGUAGES, SKIP_DIRS
 
 
@@ -34,21 +38,82 @@ def in_skipped_dir(path: Column) -> Column:
     return F.exists(dirs, lambda d: d.isin(*SKIP_DIRS))
 
 
+FILES_READ = "path string, abs_path string, size bigint, mtime bigint, text string"
+#: a task's rows go out when they hold so many characters
+BATCH_CHARS = 16_000_000
+
+
+def _listed(fs, folder: str, deep: bool = True) -> Iterator:
+    """What a folder holds, without the directories that scans leave out and what is below them."""
+    for x in sorted(fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)), key=lambda x: x.base_name):
+        if x.type != pafs.FileType.Directory:
+            yield x
+        elif x.base_name not in SKIP_DIRS:
+            yield x
+            if deep:
+                yield from _listed(fs, x.path)
+
+
 def scan(spark: SparkSession, root: str, texts: bool = False) -> DataFrame:
     """(path, abs_path, language, size, mtime, is_test[, text]) of the known files below root.
 
-    Spark's own binary reader, so any store it reads will do; contents are read
-    only if asked for.  mtime is in nanoseconds, as fine as the store's clock.
+    The driver lists two levels; each directory there is a row whose task lists
+    what is below and, if asked, reads the contents.  Spark's own file readers
+    would pass over every name that begins with ``_`` or ``.``.  Extensions
+    count in any case.  Bytes that are no UTF-8 are replaced; a file that goes
+    away meanwhile is left out.  mtime is in nanoseconds.
     """
-    glob = "*{" + ",".join(sorted({e for x in BY_EXTENSION for e in (x, x.upper())})) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    home = F.lit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/")
-    abs_path = F.regexp_replace("path", "^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
-    rows = raw.select(abs_path.alias("abs_path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime"), *([F.col("content").cast("string").alias("text")] if texts else []))
-    rows = rows.withColumn("path", F.substr("abs_path", F.length(home) + 1))
-    rows = rows.where(~in_skipped_dir(F.col("path"))).withColumn("language", language_of(F.col("path"))).where("language is not null")
-    rows = rows.withColumn("is_test", is_test(F.col("path"), F.col("language")))
-    return rows.select("path", "abs_path", "language", "size", "mtime", "is_test", *(["text"] if texts else []))
+    uri = store_uri(root)
+    fs, base = pafs.FileSystem.from_uri(uri)
+    base = base.rstrip("/")
+    store = "" if uri.startswith("file:") else uri.split(":")[0] + "://"
+    first = list(_listed(fs, base, False))
+    second = [x for d in first if d.type == pafs.FileType.Directory for x in _listed(fs, d.path, False)]
+    rows = [(x.path, x.type == pafs.FileType.Directory) for x in second] + [(x.path, False) for x in first if x.type != pafs.FileType.Directory]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        out, held = [], 0
+        names = [x.split()[0] for x in FILES_READ.split(", ")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=names)
+        for b in batches:
+            for top, is_dir in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x in _listed(fs, top) if is_dir else [fs.get_file_info(top)]:
+                    if x.type != pafs.FileType.File or os.path.splitext(x.base_name)[1].lower() not in BY_EXTENSION:
+                        continue
+                    text = None
+                    if texts:
+                        try:
+                            with fs.open_input_file(x.path) as f:
+                                text = f.read().decode("utf-8", "replace")
+                        except FileNotFoundError:
+                            continue
+                    out.append((x.path[len(base) + 1 :], store + x.path, x.size, x.mtime_ns, text))
+                    held += len(text or "") + 100
+                    if held > BATCH_CHARS:
+                        yield batch(out)
+                        out, held = [], 0
+        if out:
+            yield batch(out)
+
+    tops = spark.createDataFrame(rows, "top string, is_dir boolean").repartition(max(1, min(len(rows), 8 * spark.sparkContext.defaultParallelism)))
+    found = tops.mapInArrow(read, FILES_READ).withColumn("language", language_of(F.col("path")))
+    found = found.withColumn("is_test", is_test(F.col("path"), F.col("language")))
+    return found.select("path", "abs_path", "language", "size", "mtime", "is_test", *(["text"] if texts else []))
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """(file, text) of (abs_path, file); files that are not there any more are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, file in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fs, at = pafs.FileSystem.from_uri(store_uri(path))
+                if fs.get_file_info(at).type == pafs.FileType.File:
+                    with fs.open_input_file(at) as f:
+                        yield pa.RecordBatch.from_pydict({"file": [file], "text": [f.read().decode("utf-8", "replace")]})
+
+    return files.select("abs_path", "file").mapInArrow(run, "file string, text string")
 
 
 def changed(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -66,7 +131,7 @@ class _Files(InputPartition):
 def _snapshot(root: str) -> dict[str, tuple[int, int]]:
     found = {}
     for d, dirs, names in os.walk(root):
-        dirs[:] = [x for x in dirs if x not in SKIP_DIRS and not x.startswith(".")]
+        dirs[:] = [x for x in dirs if x not in SKIP_DIRS]
         for n in names:
             if os.path.splitext(n)[1].lower() in BY_EXTENSION:
                 p = os.path.join(d, n)
@@ -79,25 +144,43 @@ def _snapshot(root: str) -> dict[str, tuple[int, int]]:
 
 
 class _Changes(DataSourceStreamReader):
-    """Offsets carry the number of a snapshot; a batch is the difference of two."""
+    """Offsets carry the number of a snapshot; a batch is the difference of two.
 
-    def __init__(self, root: str):
-        self.root = root
-        self.number = 0
-        self.snapshots: dict[int, dict] = {0: {}}
+    Snapshots lie in the folder ``state``, so a stream that starts again from
+    its checkpoint goes on from the last one, and removals meanwhile show.
+    """
+
+    def __init__(self, root: str, state: str):
+        self.root, self.state = root, state
+        os.makedirs(state, exist_ok=True)
+        if not self._numbers():
+            self._write(0, {})
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in os.listdir(self.state) if n.endswith(".json"))
+
+    def _write(self, number: int, found: dict) -> None:
+        path = os.path.join(self.state, f"{number}.json")
+        with open(path + ".tmp", "w") as f:
+            json.dump(found, f)
+        os.replace(path + ".tmp", path)
+
+    def _read(self, number: int) -> dict[str, tuple[int, int]]:
+        with open(os.path.join(self.state, f"{number}.json")) as f:
+            return {p: tuple(x) for p, x in json.load(f).items()}
 
     def initialOffset(self) -> dict:
-        return {"n": 0}
+        return {"n": self._numbers()[0]}
 
     def latestOffset(self) -> dict:
-        now = _snapshot(self.root)
-        if now != self.snapshots[self.number]:
-            self.number += 1
-            self.snapshots[self.number] = now
-        return {"n": self.number}
+        now, last = _snapshot(self.root), self._numbers()[-1]
+        if now != self._read(last):
+            last += 1
+            self._write(last, now)
+        return {"n": last}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        a, b = self.snapshots.get(start["n"], {}), self.snapshots.get(end["n"], {})
+        a, b = self._read(start["n"]), self._read(end["n"])
         rows = [(p, "remove", 0) for p in a.keys() - b.keys()]
         rows += [(p, "write" if p in a else "create", b[p][0]) for p in b if a.get(p) != b[p]]
         return [_Files(sorted(rows))]
@@ -106,8 +189,9 @@ class _Changes(DataSourceStreamReader):
         yield from partition.rows
 
     def commit(self, end: dict) -> None:
-        for n in [n for n in self.snapshots if n < end["n"]]:
-            del self.snapshots[n]
+        for n in self._numbers():
+            if n < end["n"]:
+                os.remove(os.path.join(self.state, f"{n}.json"))
 
 
 class _Listing(DataSourceReader):
@@ -123,7 +207,8 @@ class TreeChanges(DataSource):
     """Format ``tree_changes``: (path, op, mtime) of a local tree, as a batch or a stream.
 
     Spark's file stream sees new files only; this one compares snapshots, so
-    rewritten and removed files come too.  The driver watches the tree.
+    rewritten and removed files come too.  The driver watches the tree; a
+    stream keeps its snapshots in the folder of the option ``state``.
     """
 
     @classmethod
@@ -137,4 +222,4 @@ class TreeChanges(DataSource):
         return _Listing(self.options["path"])
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Changes(self.options["path"])
+        return _Changes(self.options["path"], self.options["state"])

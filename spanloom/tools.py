@@ -19,35 +19,40 @@ TOOLS = {
 }
 
 
+#: rows in one reply
+PAGE = 10_000
+
+
 class ToolError(Exception):
     pass
 
 
 class Tools:
-    """Tool calls over an index; replies are bounded by what one symbol or file has."""
+    """Tool calls over an index.
+
+    A reply has the whole count and at most PAGE rows from ``offset`` on, in a
+    fixed order; ``next`` says where to go on, so no reply holds a whole table.
+    """
 
     def __init__(self, index: dict[str, DataFrame]):
         self.index = index
 
-    def _id(self, node_id: str) -> DataFrame:
-        return self.index["nodes"].sparkSession.createDataFrame([(node_id,)], "id string")
-
-    def find_symbol(self, name: str = "", ignoreCase: bool = False) -> dict:
+    def find_symbol(self, name: str = "", ignoreCase: bool = False, offset: int = 0) -> dict:
         if not name:
             raise ToolError("name is required")
         rows = search.query(self.index["nodes"], name, ignoreCase).select("name", "file", "line", "column", "id").orderBy("file", "line", "column", "name")
-        return _reply("symbols", rows)
+        return _reply("symbols", rows, offset)
 
-    def find_callers(self, nodeId: str = "") -> dict:
-        rows = graph.callers(self.index["edges"], self.index["nodes"], self._id(nodeId)).select("caller_name", "file", "line").orderBy("caller_name", "file", "line")
-        return _reply("callers", rows)
+    def find_callers(self, nodeId: str = "", offset: int = 0) -> dict:
+        rows = graph.callers_of(self.index["edges"], self.index["nodes"], nodeId).select("caller_name", "file", "line").orderBy("caller_name", "file", "line")
+        return _reply("callers", rows, offset)
 
-    def find_callees(self, nodeId: str = "") -> dict:
-        rows = graph.callees(self.index["edges"], self.index["nodes"], self._id(nodeId)).select("callee_name", "file", "line").orderBy("callee_name", "file", "line")
-        return _reply("callees", rows)
+    def find_callees(self, nodeId: str = "", offset: int = 0) -> dict:
+        rows = graph.callees_of(self.index.get("edges_by_src", self.index["edges"]), self.index["nodes"], nodeId).select("callee_name", "file", "line").orderBy("callee_name", "file", "line")
+        return _reply("callees", rows, offset)
 
-    def get_outline(self, file: str = "") -> dict:
-        return {"file": file, **_reply("symbols", aggregates.outline(self.index["nodes"], file).select("name", "line", "column"))}
+    def get_outline(self, file: str = "", offset: int = 0) -> dict:
+        return {"file": file, **_reply("symbols", aggregates.outline(self.index["nodes"], file).select("name", "line", "column"), offset)}
 
     def handle(self, request: dict) -> dict | None:
         """The reply to a request; none to a notification."""
@@ -81,9 +86,12 @@ class Tools:
                 yield json.dumps(reply, ensure_ascii=False)
 
 
-def _reply(what: str, rows: DataFrame) -> dict:
-    found = [r.asDict() for r in rows.collect()]
-    return {"count": len(found), what: found}
+def _reply(what: str, rows: DataFrame, offset: int = 0) -> dict:
+    found = [r.asDict() for r in rows.offset(offset).limit(PAGE + 1).collect()]
+    if not offset and len(found) <= PAGE:
+        return {"count": len(found), what: found}
+    more = {"next": offset + PAGE} if len(found) > PAGE else {}
+    return {"count": rows.count(), what: found[:PAGE], **more}
 
 
 def _result(rid, result: dict) -> dict:
