@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.session import shared_dir, store_uri
+
 
 def _e(tag: str, at: tuple[int, int], *children: str, text: str = "", field: str = "") -> str:
     mark = f' field="{field}"' if field else ""
@@ -44,3 +49,28 @@ SINKS = [("app.py:3:5", "db.fetch", "db", 5), ("app.py:7:1", "os.path.join", "os
 def trees(spark: SparkSession) -> DataFrame:
     rows = [("app.py", "python", PYTHON), ("Service.java", "java", JAVA), ("none.go", "go", "<sources/>"), ("bad.py", "python", BROKEN)]
     return spark.createDataFrame(rows, "file string, language string, xml string")
+
+
+EDGES = [("app.py:7:1", "app.py:3:5", "calls", "app.py", 0, "app.py", 8)]
+MODULES = [("app", "app.py"), ("Service", "Service.java"), ("db", "db.py"), ("os.path", "os/path.py")]
+
+
+def files(spark: SparkSession) -> DataFrame:
+    rows = [("app.py", "/a/app.py", "python", 9, 1, False, "from db import fetch\nimport os.path\n"), ("Service.java", "/a/Service.java", "java", 9, 1, False, "class Service {}")]
+    return spark.createDataFrame(rows, "path string, abs_path string, language string, size long, mtime long, is_test boolean, text string")
+
+
+#: (path, language, is_test) of the files in a small tree that a scan must find
+TREE = [("pkg/__init__.py", "python", False), ("pkg/__main__.py", "python", False), ("_vendor/b.py", "python", False), (".github/deep/c.py", "python", False), ("pkg/D.Py", "python", False), ("_x_test.go", "go", True), ("top.RS", "rust", False)]
+PASSED_OVER = ["vendor/no.py", "pkg/build/no.py", ".git/no.py", "readme.md"]
+
+
+def tree(spark: SparkSession) -> str:
+    """A new folder with that tree and what a scan passes over."""
+    root = f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    fs, base = pafs.FileSystem.from_uri(store_uri(root))
+    for name in [*(t[0] for t in TREE), *PASSED_OVER]:
+        fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(f"{base}/{name}") as f:
+            f.write(b"x = 1")
+    return root

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import tools
+from spanloom.build import build
 from spanloom.functions import names as fn
 from spanloom.operators import aggregates, graph, grep, imports, resolve, search
 from spanloom.plans import fixtures
 from spanloom.plans import views as v
-from spanloom.session import table
-from spanloom.sources import ast_xml
+from spanloom.session import shared_dir, table
+from spanloom.sources import ast_xml, store
 from spanloom.sources.langs import BY_EXTENSION, LANGUAGES, SKIP_DIRS
-from spanloom.sources.scan import changed, in_skipped_dir, is_test, language_of
+from spanloom.sources.scan import changed, in_skipped_dir, is_test, language_of, scan
 from spanloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +94,7 @@ add("sym_camel", lambda s, d: search.camel(v.nodes(s, d), CAMEL), _where("regexp
 add("sym_substr", lambda s, d: search.substring(v.nodes(s, d), PART), _where(f"contains(lower(name), '{PART}')"))
 _tier = "CASE WHEN name = '{q}' THEN 1 WHEN regexp_matches(name, '{r}') THEN 2 WHEN contains(lower(name), '{l}') THEN 3 END"
 add("sym_tiered", _find("BP"), v.sql(f"WITH t AS (SELECT *, {_tier.format(q='BP', r='B.*P', l='bp')} AS tier FROM nodes) SELECT {NODE} FROM t WHERE tier = (SELECT min(tier) FROM t)", "nodes"))
+add("sym_empty", _find(""), _where("false"))
 add("sym_tiered_substr", _find("late"), v.sql(f"WITH t AS (SELECT *, CASE WHEN name = 'late' THEN 1 WHEN contains(lower(name), 'late') THEN 3 END AS tier FROM nodes) SELECT {NODE} FROM t WHERE tier = (SELECT min(tier) FROM t)", "nodes"))
 
 # lookups
@@ -140,7 +144,10 @@ add("reach_pairs", lambda s, d: graph.reachable(v.edges(s, d), v.sinks(s, d), _s
     v.sql(f"{_levels} SELECT node, depth, callee_name FROM best JOIN {_hit_sinks} ON src = node", "edges", "sinks"))
 add("reach_paths", lambda s, d: graph.reachable(v.edges(s, d), v.sinks(s, d), _start(s), PATTERN).select("node", F.array_join("path", ">").alias("path")),
     v.sql(f"{_paths} SELECT node, path || '>' || callee_name AS path FROM path JOIN {_hit_sinks} ON src = node", "edges", "sinks"))
-add("reach_named", lambda s, d: graph.rendered(graph.reachable(v.edges(s, d), v.sinks(s, d), _start(s), PATTERN), v.nodes(s, d)).select("node", "callee_name", "shown"))
+add("reach_named", lambda s, d: graph.rendered(graph.reachable(v.edges(s, d), v.sinks(s, d), _start(s), PATTERN), v.nodes(s, d)).select("node", "callee_name", "shown"),
+    v.sql(f"""{_paths}, p AS (SELECT node, callee_name, string_split(path, '>') AS ids FROM path JOIN {_hit_sinks} ON src = node), x AS (SELECT DISTINCT node, callee_name, unnest(ids) AS step, generate_subscripts(ids, 1) AS pos FROM p),
+ n AS (SELECT id, max(name) AS name FROM nodes GROUP BY id), y AS (SELECT node, callee_name, string_agg(coalesce(name, step), ' -> ' ORDER BY pos) AS shown FROM x LEFT JOIN n ON id = step GROUP BY node, callee_name)
+ SELECT p.node, p.callee_name, shown || ' -> ' || p.callee_name AS shown FROM p JOIN y ON y.node = p.node AND y.callee_name = p.callee_name""", "nodes", "edges", "sinks"))
 
 # grep
 
@@ -156,8 +163,16 @@ def _grep(**o) -> Callable[[SparkSession, str], DataFrame]:
 
 add("grep_hits", _grep(), v.sql(_at, "line_nodes"))
 add("hit_distinct", lambda s, d: grep.distinct_places(v.line_nodes(s, d).unionByName(v.line_nodes(s, d))), v.sql('SELECT id, name, file, line, "column" FROM line_nodes', "line_nodes"))
-add("grep_word", lambda s, d: grep.hits(v.line_nodes(s, d), v.lines(s, d), grep.GrepOptions(pattern="And*", word=True)).unionByName(v.lines(s, d).where(fn.has_word(F.col("content"), "and")).select("file", "line", F.lit(1).alias("column"), F.lit("").alias("name"), "content")),
-    v.sql(f"""SELECT file, line, 1 AS "column", '' AS name, content FROM lines WHERE {_isword('content', 'and')}""", "lines"))
+_he = """SELECT l.file, l.line, 1 AS "column", l.name, x.content FROM line_nodes l JOIN lines x ON x.file = l.file AND x.line = l.line WHERE contains(lower(l.name), 'he')"""
+add("grep_word", lambda s, d: grep.hits(v.line_nodes(s, d), v.lines(s, d), grep.GrepOptions(pattern="he", word=True)), v.sql(f"SELECT * FROM ({_he}) WHERE {_isword('content', 'he')} OR {_isword('name', 'he')}", "line_nodes"))
+add("grep_without_symbols", lambda s, d: grep.grep(v.line_nodes(s, d), v.lines(s, d), grep.GrepOptions(pattern="e t")), v.sql("SELECT file || ':' || line || ':' || content AS printed FROM lines WHERE contains(content, 'e t')", "lines"))
+add("grep_no_filename", lambda s, d: grep.grep(v.line_nodes(s, d), v.lines(s, d), _g(no_filename=True)), v.sql(f"SELECT line || ':' || CASE WHEN content = '' THEN name ELSE content END AS printed FROM ({_at})", "line_nodes"))
+add("grep_include", lambda s, d: grep.text_hits(v.lines(s, d), grep.GrepOptions(pattern="the", include=("1*", "?7"), exclude=("*3",))),
+    v.sql("SELECT file, line, content FROM (SELECT *, regexp_extract(file, '([^/]*)$', 1) AS base FROM lines) WHERE contains(content, 'the') AND (starts_with(base, '1') OR regexp_matches(base, '^.7$')) AND NOT suffix(base, '3')", "lines"))
+add("grep_quiet", lambda s, d: s.createDataFrame([(p, grep.any_hit(v.line_nodes(s, d), v.lines(s, d), grep.GrepOptions(pattern=p, quiet=True))) for p in (WORD, "no such words")], "pattern string, found boolean"),
+    v.sql(f"SELECT '{WORD}' AS pattern, count(*) > 0 AS found FROM line_nodes WHERE name = '{WORD}' UNION ALL SELECT 'no such words', count(*) > 0 FROM lines WHERE contains(content, 'no such words')", "line_nodes"))
+add("grep_flags", lambda s, d: s.createDataFrame([(k, str(x)) for k, x in sorted(vars(grep.parse(["-inA3", "-e", "x", "--max-count=5", "-C2", "-ey", "a", "b"])).items()) if x], "flag string, value string"),
+    "SELECT * FROM (VALUES ('after', '2'), ('before', '2'), ('ignore_case', 'True'), ('max_count', '5'), ('paths', '(''a'', ''b'')'), ('pattern', 'y')) t(flag, value)")
 add("grep_paths", _grep(paths=("doc/1", "./doc/2", "77")), v.sql(f"SELECT * FROM ({_at}) WHERE starts_with(file, 'doc/1') OR starts_with(file, 'doc/2') OR file = 'doc/77'", "line_nodes"))
 add("grep_invert", lambda s, d: grep.hits(v.line_nodes(s, d), v.lines(s, d), _g(paths=("doc/1",), invert=True)), v.sql(f"""SELECT file, line, "column", name, '' AS content FROM ({_at}) WHERE NOT starts_with(file, 'doc/1')""", "line_nodes"))
 add("grep_count", lambda s, d: grep.grep(v.line_nodes(s, d), v.lines(s, d), _g(count=True)), v.sql(f"SELECT CAST(count(*) AS VARCHAR) AS printed FROM ({_at})", "line_nodes"))
@@ -312,8 +327,68 @@ _values = lambda rows, cols: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".joi
 add("ast_nodes", lambda s, d: ast_xml.nodes_of(ast_xml.walked(fixtures.trees(s))).select("id", "name", "line"), _values(fixtures.NODES, ("id", "name", "line")))
 add("ast_edges", lambda s, d: ast_xml.calls_of(ast_xml.walked(fixtures.trees(s))).select("src", "callee_name", "line"), _values(fixtures.CALLS, ("src", "callee_name", "line")))
 add("ast_sinks", lambda s, d: ast_xml.sinks_of(ast_xml.walked(fixtures.trees(s))).select("src", "callee_name", "pkg", "line"), _values(fixtures.SINKS, ("src", "callee_name", "pkg", "line")))
-add("tool_find_symbol", lambda s, d: search.query(v.nodes(s, d), SYMBOL).agg(F.count(F.lit(1)).alias("count"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")),
-    v.sql(f"SELECT count(*) AS count, string_agg(id, ',' ORDER BY id) AS ids FROM nodes WHERE name = '{SYMBOL}'", "nodes"))
-add("tool_outline", lambda s, d: aggregates.outline(v.nodes(s, d), "supplier/3").agg(F.count(F.lit(1)).alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]), ",").alias("names")),
-    v.sql("SELECT count(*) AS count, string_agg(name, ',' ORDER BY line, name) AS names FROM nodes WHERE suffix(file, 'supplier/3')", "nodes"))
-add("tool_json", lambda s, d: tools.as_json(aggregates.outline(v.nodes(s, d), "supplier/3").select("line", "name"), "symbols"))
+add("ast_errors", lambda s, d: ast_xml.errors_of(ast_xml.walked(fixtures.trees(s))).select("file", "language"), _values([("bad.py", "python")], ("file", "language")))
+
+
+def _walk_in_sql(s: SparkSession, d: str) -> DataFrame:
+    ast_xml.register_sql(s)
+    fixtures.trees(s).createOrReplaceTempView("spanloom_trees")
+    return s.sql("SELECT w.kind, w.id, w.name FROM spanloom_trees t, LATERAL ast_walk(t.file, t.language, t.xml) w WHERE w.kind = 'node'")
+
+
+add("ast_walk_sql", _walk_in_sql, _values([("node", *r[:2]) for r in fixtures.NODES], ("kind", "id", "name")))
+_built = lambda s: build(fixtures.files(s), fixtures.trees(s))
+add("build_edges", lambda s, d: _built(s)["edges"], _values(fixtures.EDGES, ("src", "dst", "kind", "file", "line", "call_file", "call_line")))
+add("build_modules", lambda s, d: _built(s)["mod_map"], _values(fixtures.MODULES, ("module", "path")))
+add("scan_tree", lambda s, d: scan(s, fixtures.tree(s), texts=True).select("path", "language", "size", "is_test", "text"), "SELECT path, language, size, CAST(is_test AS BOOLEAN) AS is_test, text FROM (" + _values([(p, x, 5, t, "x = 1") for p, x, t in fixtures.TREE], ("path", "language", "size", "is_test", "text")) + ")")
+
+
+def _stored(s: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """The tables as an index, saved twice and loaded."""
+    folder = f"{shared_dir(s).rstrip('/')}/index-{uuid.uuid4().hex}"
+    edges = v.edges(s, d).withColumn("call_file", F.col("file")).withColumn("call_line", F.col("line"))
+    store.save({"nodes": v.nodes(s, d), "edges": edges, "sinks": v.sinks(s, d)}, folder)
+    store.save({"annotations": _annotations(s, d)}, folder)
+    return store.load(s, folder, *names)
+
+
+def _annotations(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "labels").where("doc_id is not null")
+    return rows.select(F.concat(F.lit("a"), "doc_id").alias("id"), F.concat(F.lit("part:"), F.col("doc_id") % 50).alias("node_id"), F.lit("quality").alias("key"), F.col("quality").cast("string").alias("value"), F.lit("labels").alias("source"), F.lit("").alias("evidence"))
+
+
+_annotations_sql = "(SELECT 'a' || doc_id AS id, 'part:' || (doc_id % 50) AS node_id, 'quality' AS key, CAST(quality AS VARCHAR) AS value FROM labels WHERE doc_id IS NOT NULL)"
+add("index_load", lambda s, d: _stored(s, d, "nodes")["nodes"], _where("true"))
+add("index_by_src", lambda s, d: graph.callees_of((i := _stored(s, d))["edges_by_src"], i["nodes"], "part:7").select("src", "callee_id"), v.sql("SELECT DISTINCT src, dst AS callee_id FROM edges JOIN (SELECT DISTINCT id FROM nodes) ON id = dst WHERE src = 'part:7'", "nodes", "edges"))
+add("annotations_of", lambda s, d: store.annotations_of(_stored(s, d), "part:7").select("id", "value"), f"SELECT id, value FROM {_annotations_sql} WHERE node_id = 'part:7'")
+add("annotate", lambda s, d: store.annotate({"annotations": _annotations(s, d)}, _annotations(s, d).where("value = '1'").withColumn("value", F.lit("good"))).select("id", "value"), f"SELECT id, CASE WHEN value = '1' THEN 'good' ELSE value END AS value FROM {_annotations_sql}")
+
+
+def _tool(tool: str, what: str, schema: str, **arguments) -> Callable[[SparkSession, str], DataFrame]:
+    """The rows of a reply, through the request itself."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        index = {"nodes": v.nodes(s, d), "edges": v.edges(s, d)}
+        reply = tools.Tools(index).handle({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": arguments}})
+        found = json.loads(reply["result"]["content"][0]["text"])
+        return s.createDataFrame([(found["count"], *(r[c.split()[0]] for c in schema.split(", "))) for r in found[what]], "count long, " + schema.replace("column int", "`column` int"))
+
+    return run
+
+
+_counted = lambda sql: f"SELECT count(*) OVER () AS count, * FROM ({sql})"
+add("tool_find_symbol", _tool("find_symbol", "symbols", "name string, file string, line int, column int, id string", name=SYMBOL), v.sql(_counted(f"SELECT {NODE} FROM nodes WHERE name = '{SYMBOL}'"), "nodes"))
+add("tool_outline", _tool("get_outline", "symbols", "name string, line int, column int", file="supplier/3"), v.sql(_counted("""SELECT name, line, "column" FROM nodes WHERE suffix(file, 'supplier/3')"""), "nodes"))
+add("tool_find_callers", _tool("find_callers", "callers", "caller_name string, file string, line int", nodeId="part:7"), v.sql(_counted("SELECT n.name AS caller_name, e.file, e.line FROM edges e JOIN nodes n ON n.id = e.src WHERE e.dst = 'part:7'"), "nodes", "edges"))
+add("tool_find_callees", _tool("find_callees", "callees", "callee_name string, file string, line int", nodeId="customer:42"), v.sql(_counted("SELECT n.name AS callee_name, e.file, e.line FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = 'customer:42'"), "nodes", "edges"))
+
+
+def _tool_errors(s: SparkSession, d: str) -> DataFrame:
+    asked = [{"id": 1, "method": "nothing"}, {"id": 2, "method": "tools/call"}, {"id": 3, "method": "tools/call", "params": {"name": "nothing"}}, {"id": 4, "method": "tools/call", "params": {"name": "find_symbol"}}, {"method": "notifications/initialized"}]
+    lines = tools.Tools({"nodes": v.nodes(s, d), "edges": v.edges(s, d)}).serve(["", "no json", *map(json.dumps, asked)])
+    return s.createDataFrame([(r["id"], r["error"]["code"]) for r in map(json.loads, lines)], "id long, code long")
+
+
+add("tool_errors", _tool_errors, _values([(1, -32601), (2, -32602), (3, -32601), (4, -32000)], ("id", "code")))
+add("tool_json", lambda s, d: tools.as_json(aggregates.outline(v.nodes(s, d), "supplier/3").select("line", "name"), "symbols"),
+    v.sql("SELECT CAST(to_json({'count': count(*), 'symbols': list({'line': line, 'name': name} ORDER BY line, name)}) AS VARCHAR) AS json FROM nodes WHERE suffix(file, 'supplier/3')", "nodes"))
