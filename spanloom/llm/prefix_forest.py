@@ -116,7 +116,8 @@ def _against_all(index: DataFrame, open_: DataFrame, dim: int, k: int) -> DataFr
             for whole in batches:
                 for at in range(0, whole.num_rows, 1000):
                     b = whole.slice(at, 1000)
-                    rep, ids = b.column(0).to_numpy(), b.column(1)
+                    ids = b.column(1)
+                    first_id = np.asarray(ids.values)[np.asarray(ids.offsets)[:-1]]
                     y = b.column(2).flatten().to_numpy().reshape(-1, dim)
                     y = y / np.linalg.norm(y, axis=1, keepdims=True)
                     for first in range(0, len(q), 1024):
@@ -126,8 +127,8 @@ def _against_all(index: DataFrame, open_: DataFrame, dim: int, k: int) -> DataFr
                         for j in np.unique(row):
                             here = col[cuts[j] : cuts[j + 1]]
                             score = np.round(s[j, here], DIGITS)
-                            order = np.lexsort((rep[here], -score))[: k + 1]
-                            new = [(-float(score[o]), int(rep[here[o]]), ids[int(here[o])].as_py()) for o in order]
+                            order = np.lexsort((first_id[here], -score))[: k + 1]
+                            new = [(-float(score[o]), int(first_id[here[o]]), ids[int(here[o])].as_py()) for o in order]
                             best[first + j] = sorted((best[first + j] or []) + new)[: k + 1]
                             if len(best[first + j]) == k + 1:
                                 least[first + j] = max(least[first + j], -best[first + j][-1][0])
@@ -150,15 +151,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _distinct(v: DataFrame, k: int) -> DataFrame:
-    """(rep, ids): for every distinct vector its smallest id and its k smallest ids.
+    """(a, b, rep, ids): for every distinct vector a number of its own and its k smallest ids.
 
     The ids of a vector are ranked within salts first, so a vector that many
     rows share is never sorted in one task.
     """
-    keys = v.select("id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    keys = v.select("id", "a", "b").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     first = lambda df, *by: df.withColumn("nth", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("nth") <= k)
     few = first(first(keys, "a", "b", "salt"), "a", "b")
-    return few.groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("a", "b", F.col("ids")[0].alias("rep"), "ids")
+    return few.groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("a", "b", F.col("a").alias("rep"), "ids")
 
 
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, probes: int = PROBES) -> DataFrame:
@@ -168,12 +169,14 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     other rows.  Vectors that are null, zero, of another dimension than most or
     that hold null or non-finite components take no part.  Ties go to the
     smaller id; scores are rounded to DIGITS digits, so that rounding errors
-    don't part them.  Fewer than k candidates give fewer rows.  Ids should be unique:
-    rows that repeat id and vector count once.  An empty table, or one without
-    usable vectors, gives no rows.
+    don't part them.  Fewer than k candidates give fewer rows.  Rows that repeat
+    id and vector count once; of an id with several vectors the best score of
+    any of them counts, as query and as candidate.  Other columns are not read.
+    An empty table, or one without usable vectors, gives no rows.
     """
     spark = vectors.sparkSession
-    v = cut(usable(vectors, id_col, vector_col).dropDuplicates(["id"]))
+    v = usable(vectors, id_col, vector_col).withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v")})
+    v = cut(v.dropDuplicates(["id", "a", "b"]))
     reps = cut(_distinct(v, k + 1))
     n = reps.count()
     first = v.limit(1).collect()
@@ -181,10 +184,10 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     if not n or not first:
         return spark.createDataFrame([], schema)
     dim = len(first[0]["v"])
-    asked = v.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
+    asked = v.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "a", "b")
     asked = cut(asked.join(reps.select("a", "b", "rep"), ["a", "b"]).select("query_id", "rep"))
     wanted = asked.select(F.col("rep").alias("q")).distinct()
-    index = reps.select("rep", "ids").join(v, F.col("rep") == F.col("id")).join(wanted, F.col("rep") == F.col("q"), "left").select("rep", "ids", "v", F.col("q").isNotNull().alias("asked"))
+    index = reps.withColumn("id", F.col("ids")[0]).join(v, ["a", "b", "id"]).join(wanted, F.col("rep") == F.col("q"), "left").select("rep", "ids", "v", F.col("q").isNotNull().alias("asked"))
     index = cut(index)
     reach = reach_for(n)
 
@@ -217,6 +220,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
             return
         y, y_norm, y_tree, y_rep, y_code = x[at], norm[at], tree[at], rep[at], b["code"].to_numpy()[at]
         ids = b["ids"].combine_chunks()
+        y_first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]][at]  # the smallest id of each vector
         before = np.cumsum(~probe)
         found: dict[int, list] = {}
         bounds: dict[int, list] = {}
@@ -237,7 +241,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
         out = []
         for query, got in found.items():
             pos, s = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            order = np.lexsort((y_rep[pos], -s))
+            order = np.lexsort((y_first[pos], -s))
             pos, s = pos[order], s[order]
             _, one = np.unique(y_rep[pos], return_index=True)
             one = np.sort(one)[: k + 1]
@@ -277,7 +281,8 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
         near = near.join(open_.select("q"), "q", "left_anti").select("q", "vec_id", "score").union(best(all_).select("q", "vec_id", "score"))
     near = near.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
     out = asked.join(near, F.col("rep") == F.col("q"))
-    # the k + 1 best of its vector, without the query itself
-    own = F.array_sort(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).otherwise(1))
-    out = out.select("query_id", F.posexplode(F.slice(own, 1, k)).alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    # the k + 1 best of each of its vectors, without the query itself
+    out = out.select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score").where("vec_id <> query_id")
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

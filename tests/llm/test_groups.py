@@ -205,6 +205,17 @@ def test_neighbours_against_brute_force(spark):
         assert [i for i, _ in found[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in found[q]], [s for _, s in want[q]], atol=1e-9)
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1, "x"), (3, [0.0, 1.0], 2, "x"), (3, [2.0, 0.0], 3, "y"), (4, [1.0, 1.0], 4, None), (4, [1.0, 1.0], 4, None), (5, [-1.0, 0.0], None, "z"), (50, [0.0, 1.0], 1, "q"), (50, [1.0, 0.1], 1, "q")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long, code string")
+    for parts in (1, 4):
+        found = {}
+        for q, rank, i, score in sorted(map(tuple, prefix_forest.neighbours(df.repartition(parts)).collect())):
+            found.setdefault(q, []).append((i, round(score, 6)))
+        near = 1 / 1.01**0.5
+        assert found == {0: [(3, 1.0), (50, round(near, 6)), (4, round(0.5**0.5, 6)), (5, -1.0)], 50: [(3, 1.0), (0, round(near, 6)), (4, round(1.1 / (1.01 * 2) ** 0.5, 6)), (5, 0.0)]}
+
+
 def test_neighbours_of_few_or_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert prefix_forest.neighbours(spark.createDataFrame([], schema)).count() == 0
