@@ -1,34 +1,37 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-A tree hashes a vector to a long string of symbols: the coordinates of a random
-rotation in descending order of size, each with its sign.  All strings of a
-tree in sorted order are its trie; strings next to a query's place share the
-longest prefix with it, and going outwards on both sides is going up the trie.
-A query descends at PROBES places a tree, each led by another of its large
-coordinates, and sees ``reach`` entries on either side of each place, a number
-that grows as the square root of the index.  What it has seen is scored exactly.
-
-Whether that was enough is measured for each query: TRIALS random vectors as
-near to it as the last of its neighbours are hashed, and those whose string lies
-strictly between the ends of what was seen in some tree would have been found.
-Entries beyond an end, also with its string, don't count as seen, so a run of
-equal strings that is wider than the window, a window that a range's edge
-clips, and an index too large for ``reach`` all show.  If a smaller part than
-FOUND would have been found, the query goes up to the root: it is scored against
-the whole index, in blocks of ASKED_ROWS queries.
-
-Trees lie in one range-sorted table of (tree, string, id), split evenly however
-many strings are equal; a task holds one range.  Equal vectors enter as one,
-with the smallest ids that can matter.
+A tree hashes a vector to a string of BITS symbols: on which side of as many
+random planes it lies.  A tree is the trie of its strings, kept as their sorted
+order: a node is a run of entries that share a prefix.  The trees lie in one
+range-sorted table of (tree, string, number of the vector); vectors stay out.
+
+A query *descends* each tree to its own place and takes the deepest node above
+it with k other entries, of those at most NEAR places away.  They are scored
+exactly, and the last of the best k + 1 says how near a neighbour must be to count.
+
+Then all trees *ascend* together, from the longest prefixes on, a symbol at a
+time: at length L a query's candidates are the entries that share L symbols with
+it in some tree.  The ascent ends where that is enough, as measured for each
+query: TRIALS random vectors as near to it as the last of its neighbours are
+hashed, and FOUND of them must share L symbols with it in some tree.  The nodes
+of that length are whole: a query goes to every range that holds a part of one.
+
+Where a node of that length holds too many entries (more than ``most_of``), or
+trees * 2^-L is 1 / SHARE or more, the query goes on to the root: it is scored against the
+whole index, in blocks of ASKED_ROWS queries, which then costs less than the
+nodes and misses nothing.  Equal vectors enter as one, with the smallest ids
+that can matter.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,108 +39,122 @@ from pyspark.sql import Window as W
 from spanloom.session import cut
 
 TREES = 24
-PROBES = 8
+BITS = 62
+#: places on either side of its own that a query's descent looks at
+NEAR = 12
 SALTS = 64
 RANGE_ROWS = 40_000
+#: at most so many ranges, whose ends are broadcast
+MOST_RANGES = 20_000
 TRIALS = 32
 FOUND = 0.95
+SHARE = 16
 ASKED_ROWS = 8192
+PAIRS = 200_000
 DIGITS = 12
-_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-
-
-def reach_for(n: int) -> int:
-    """Entries seen on either side of a place in an index of n vectors."""
-    return max(64, math.ceil(0.75 * math.sqrt(n)))
-
-
-def _rotations(dim: int, trees: int) -> np.ndarray:
-    random = np.random.default_rng(11)
-    return np.stack([np.linalg.qr(random.normal(size=(dim, dim)))[0] for _ in range(trees)])
-
-
-def _strings(x: np.ndarray, rotation: np.ndarray, probes: int) -> np.ndarray:
-    """(rows, probes) hash strings as integers whose order is that of the strings."""
-    dim = x.shape[1]
-    bits = max(1, (2 * dim - 1).bit_length())
-    symbols = min(62 // bits, dim)
-    y = x @ rotation
-    order = np.argsort(-np.abs(y), axis=1, kind="stable")
-    sym = order * 2 + (np.take_along_axis(y, order, 1) > 0)
-    out = np.empty((len(x), min(probes, dim)), np.int64)
-    for p in range(out.shape[1]):
-        lead = [p, *(k for k in range(dim) if k != p)][:symbols]
-        code = np.zeros(len(x), np.int64)
-        for k in lead:
-            code = code << bits | sym[:, k]
-        out[:, p] = code
-    return out
 
 
-def _would_find(x: np.ndarray, score: float, tree: np.ndarray, low: np.ndarray, high: np.ndarray, turn: np.ndarray, random: np.random.Generator) -> float:
-    """The part of random vectors at cosine ``score`` from the unit vector x whose
-    string is strictly between low and high at some place of its tree."""
+def most_of(n: int) -> int:
+    """Entries of a node, in one range, that a query still takes from an index of n vectors."""
+    return max(256, n // 64)
+
+
+def _planes(dim: int, trees: int) -> np.ndarray:
+    return np.random.default_rng(11).normal(size=(dim, trees * BITS))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square leaves the range of doubles
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """(rows, trees) hash strings as integers whose order is that of the strings."""
+    sides = np.zeros((len(unit), planes.shape[1] // BITS, 64), bool)
+    sides[:, :, 64 - BITS :] = (unit @ planes > 0).reshape(len(unit), -1, BITS)
+    return np.packbits(sides, axis=2).view(">i8")[:, :, 0].astype(np.int64)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols two strings share from their start."""
+    high, low = np.divmod(a ^ b, 1 << 31)
+    return BITS - np.where(high > 0, 31 + np.frexp(high.astype(float))[1], np.frexp(low.astype(float))[1])
+
+
+def _enough(x: np.ndarray, score: float, planes: np.ndarray, random: np.random.Generator) -> int:
+    """The longest prefix that FOUND of random vectors at cosine ``score`` from the unit
+    vector x share with it in some tree."""
     u = random.normal(size=(TRIALS, len(x)))
     u -= np.outer(u @ x, x)
     size = np.linalg.norm(u, axis=1, keepdims=True)
     u = np.divide(u, size, out=np.zeros_like(u), where=size > 1e-9)
     score = min(1.0, max(-1.0, score))
     y = score * x + math.sqrt(1 - score * score) * u
-    left = np.arange(TRIALS)
-    for t in np.unique(tree):
-        code = _strings(y[left], turn[t], 1)
-        here = tree == t
-        left = left[~((code > low[here]) & (code < high[here])).any(axis=1)]
-        if not len(left):
-            break
-    return 1 - len(left) / TRIALS
-
-
-def _against_all(index: DataFrame, open_: DataFrame, dim: int, k: int) -> DataFrame:
-    """(q, ids, score): the k + 1 nearest of each query (q, least, v) in each part of
-    the index (rep, ids, v), if not below ``least``."""
+    length = _shared(_strings(y, planes), _strings(x[None], planes)).max(axis=1)
+    return int(np.sort(length)[int((1 - FOUND) * TRIALS)])
+
+
+def _scored(index: DataFrame, wanted: DataFrame, pairs: DataFrame | None, dim: int, k: int) -> DataFrame:
+    """(q, ids, score): in each task the k + 1 nearest of the queries wanted (q, v, least), if not below
+    ``least``; among the pairs (q, rep), or in the whole index (rep, ids, v)."""
     spark = index.sparkSession
-    blocks = max(1, math.ceil(open_.count() / ASKED_ROWS))
-    open_ = cut(open_.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))))
-    index = index.coalesce(4 * spark.sparkContext.defaultParallelism)
-    out = None
-    for block in range(blocks):
-        rows = open_.where(F.col("block") == block).collect()
+    n = wanted.count()
+    blocks = max(1, math.ceil(n / ASKED_ROWS))
+    block_of = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    out = spark.createDataFrame([], "q long, ids array<long>, score double")
+    for block in range(blocks if n else 0):
+        rows = wanted.where(block_of == block).select("q", "v", "least").orderBy("q").collect()
         if not rows:
             continue
-        asked = np.asarray([r["v"] for r in rows])
-        asked /= np.linalg.norm(asked, axis=1, keepdims=True)
-        asked = spark.sparkContext.broadcast((np.asarray([r["q"] for r in rows]), np.asarray([r["least"] for r in rows]), asked))
-
-        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+        asked = spark.sparkContext.broadcast((np.asarray([r["q"] for r in rows]), np.asarray([r["least"] for r in rows]), _unit(np.asarray([r["v"] for r in rows]))))
+        if pairs is None:
+            looked = index.select("ids", "v", F.lit(None).cast("array<long>").alias("by")).coalesce(4 * spark.sparkContext.defaultParallelism)
+        else:
+            by = pairs.where(block_of == block).groupBy(F.col("rep").alias("near")).agg(F.collect_set("q").alias("by"))
+            looked = index.join(by, F.col("rep") == F.col("near")).select("ids", "v", "by")
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked, whole=pairs is None) -> Iterator[pa.RecordBatch]:
             q, least, x = asked.value
             least = least.copy()
             best: list = [None] * len(q)
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    b = whole.slice(at, 1000)
-                    ids = b.column(1)
-                    first_id = np.asarray(ids.values)[np.asarray(ids.offsets)[:-1]]
-                    y = b.column(2).flatten().to_numpy().reshape(-1, dim)
-                    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+
+            def scores(y: np.ndarray, by: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                """(query, row of y, score), by query."""
+                if whole:
                     for first in range(0, len(q), 1024):
                         s = x[first : first + 1024] @ y.T
-                        row, col = np.nonzero(s >= least[first : first + 1024, None] - 10.0**-DIGITS)
-                        cuts = np.searchsorted(row, np.arange(min(1024, len(q) - first) + 1))
-                        for j in np.unique(row):
-                            here = col[cuts[j] : cuts[j + 1]]
-                            score = np.round(s[j, here], DIGITS)
+                        j, row = np.nonzero(s >= least[first : first + 1024, None] - 10.0**-DIGITS)
+                        yield j + first, row, s[j, row]
+                    return
+                j = np.searchsorted(q, by.flatten().to_numpy())
+                row = np.repeat(np.arange(len(by)), np.diff(by.offsets.to_numpy()))
+                order = np.argsort(j, kind="stable")
+                for at in range(0, len(j), PAIRS):
+                    some, to = j[order[at : at + PAIRS]], row[order[at : at + PAIRS]]
+                    s = np.einsum("ij,ij->i", x[some], y[to])
+                    good = s >= least[some] - 10.0**-DIGITS
+                    yield some[good], to[good], s[good]
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    b = batch.slice(at, 1000)
+                    ids = pa.concat_arrays([b.column(0)])  # offsets from 0
+                    first_id = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1]]
+                    y = _unit(b.column(1).flatten().to_numpy().reshape(-1, dim))
+                    for some, to, s in scores(y, pa.concat_arrays([b.column(2)])):
+                        s = np.round(s, DIGITS)
+                        for start, end in zip(cuts := np.flatnonzero(np.diff(some, prepend=-1)), np.append(cuts[1:], len(some)), strict=True):
+                            one, here, score = some[start], to[start:end], s[start:end]
                             order = np.lexsort((first_id[here], -score))[: k + 1]
                             new = [(-float(score[o]), int(first_id[here[o]]), ids[int(here[o])].as_py()) for o in order]
-                            best[first + j] = sorted((best[first + j] or []) + new)[: k + 1]
-                            if len(best[first + j]) == k + 1:
-                                least[first + j] = max(least[first + j], -best[first + j][-1][0])
+                            best[one] = sorted((best[one] or []) + new)[: k + 1]
+                            if len(best[one]) == k + 1:
+                                least[one] = max(least[one], -best[one][-1][0])
             got = [(int(q[j]), i, -s) for j, found in enumerate(best) for s, _, i in found or []]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.float64())], names=["q", "ids", "score"])
 
-        found = cut(index.select("rep", "ids", "v").mapInArrow(run, "q long, ids array<long>, score double"))
+        out = out.union(cut(looked.mapInArrow(run, "q long, ids array<long>, score double")))
         asked.unpersist()
-        out = found if out is None else out.union(found)
     return out
 
 
@@ -162,7 +179,7 @@ def _distinct(v: DataFrame, k: int) -> DataFrame:
     return few.groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("a", "b", F.col("a").alias("rep"), "ids")
 
 
-def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, probes: int = PROBES) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES) -> DataFrame:
     """The k nearest of each query by cosine: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``, candidates all
@@ -189,97 +206,114 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "v
     wanted = asked.select(F.col("rep").alias("q")).distinct()
     index = reps.withColumn("id", F.col("ids")[0]).join(v, ["a", "b", "id"]).join(wanted, F.col("rep") == F.col("q"), "left").select("rep", "ids", "v", F.col("q").isNotNull().alias("asked"))
     index = cut(index)
-    reach = reach_for(n)
+    asked_ = index.where("asked").select(F.col("rep").alias("q"), "v")
+    ranges = min(MOST_RANGES, math.ceil(n * trees / RANGE_ROWS))
+    most = most_of(n)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = _rotations(dim, trees)
+        planes = _planes(dim, trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                x = b.column(2).flatten().to_numpy().reshape(-1, dim)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                ask = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
-                for t in range(trees):
-                    codes = _strings(unit, turn[t], probes)
-                    rows = np.concatenate([np.arange(len(x)), np.repeat(ask, codes.shape[1])])
-                    code = np.concatenate([codes[:, 0], codes[ask].ravel()])
-                    is_probe = np.arange(len(rows)) >= len(x)
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(code), pa.array(is_probe), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)], names=["tree", "code", "probe", "rep", "ids", "v"])
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                code = _strings(_unit(b.column(1).flatten().to_numpy().reshape(-1, dim)), planes)
+                row = pa.array(np.repeat(np.arange(b.num_rows), trees))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), b.num_rows)), pa.array(code.ravel()), b.column(0).take(row), b.column(2).take(row)], names=["tree", "code", "rep", "asked"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            yield b.append_column("part", pa.array(np.full(b.num_rows, part, np.int32)))
+
+    def descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        b = pa.Table.from_batches(held).combine_chunks()
-        tree, probe, rep = b["tree"].to_numpy(), b["probe"].to_numpy(), b["rep"].to_numpy()
-        x = b["v"].chunk(0).flatten().to_numpy().reshape(-1, dim)
-        norm = np.linalg.norm(x, axis=1)
-        at = np.flatnonzero(~probe)  # the index entries, in order
-        if not len(at) or not probe.any():
-            return
-        y, y_norm, y_tree, y_rep, y_code = x[at], norm[at], tree[at], rep[at], b["code"].to_numpy()[at]
-        ids = b["ids"].combine_chunks()
-        y_first = ids.values.to_numpy()[ids.offsets.to_numpy()[:-1]][at]  # the smallest id of each vector
-        before = np.cumsum(~probe)
-        found: dict[int, list] = {}
-        bounds: dict[int, list] = {}
-        for p in np.flatnonzero(probe):
-            start, end = np.searchsorted(y_tree, tree[p], "left"), np.searchsorted(y_tree, tree[p], "right")
-            low, high = max(start, before[p] - reach), min(end, before[p] + reach)
-            if low >= high:
-                continue
-            # beside the first and last seen; the range before or after may go on with the string at an edge
-            below = y_code[low - 1] if low > start else y_code[0] if start == 0 else _LOW
-            above = y_code[high] if high < end else y_code[-1] if end == len(at) else _HIGH
-            bounds.setdefault(int(rep[p]), []).append((tree[p], below, above))
-            s = np.round((y[low:high] @ x[p]) / (y_norm[low:high] * norm[p]), DIGITS)
-            best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-            least = s[best].min()
-            best = np.flatnonzero(s >= least) if (s == least).sum() > 1 else best
-            found.setdefault(int(rep[p]), []).append((low + best, s[best]))
-        out = []
-        for query, got in found.items():
-            pos, s = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            order = np.lexsort((y_first[pos], -s))
-            pos, s = pos[order], s[order]
-            _, one = np.unique(y_rep[pos], return_index=True)
-            one = np.sort(one)[: k + 1]
-            near = [{"ids": i, "score": x} for i, x in zip(ids.take(pa.array(at[pos[one]])).to_pylist(), s[one].tolist(), strict=True)]
-            out.append((query, near, [{"tree": int(t), "low": int(lo), "high": int(hi)} for t, lo, hi in bounds[query]]))
-        kinds = [pa.int64(), pa.list_(pa.struct([("ids", pa.list_(pa.int64())), ("score", pa.float64())])), pa.list_(pa.struct([("tree", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))]
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=["q", "near", "places"])
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = _rotations(dim, trees)
+        b = pa.Table.from_batches(held)
+        tree, code, rep = (b[c].to_numpy() for c in ("tree", "code", "rep"))
+        asks = np.flatnonzero(b["asked"].to_numpy())
+        for at in range(0, len(asks), 10_000):
+            own = asks[at : at + 10_000, None]
+            there = own + np.arange(-NEAR, NEAR + 1)
+            inside = (there >= 0) & (there < len(code))
+            there = np.where(inside, there, own)
+            length = np.where(inside & (tree[there] == tree[own]), _shared(code[there], code[own]), -1)
+            # its own place and the k places with the longest prefixes, and all that share as much
+            deep = np.sort(length, axis=1)[:, -min(k + 1, length.shape[1])]
+            one, place = np.nonzero((length >= deep[:, None]) & (length >= 0))
+            yield pa.RecordBatch.from_pydict({"q": rep[own[one, 0]], "rep": rep[there[one, place]]})
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = _planes(dim, trees)
+        parts, firsts, lasts, rows = ends.value
         for b in batches:
-            keep = []
-            for q, v, least, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.asarray(v) / np.linalg.norm(v)
-                tree, low, high = (np.asarray([p[c] for p in places or []], np.int64) for c in ("tree", "low", "high"))
-                keep.append(least == -2 or _would_find(x, least, tree, low, high, turn, np.random.default_rng(abs(q))) < FOUND)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1)], names=["q", "least", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    made = index.mapInArrow(entries, "tree int, code long, probe boolean, rep long, ids array<long>, v array<double>")
-    ranges = max(1, math.ceil(n * trees / RANGE_ROWS))
-    made = made.repartitionByRange(ranges, "tree", "code", "rep").sortWithinPartitions("tree", "code", "rep", "probe")
-    seen_ = cut(made.mapInArrow(seen, "q long, near array<struct<ids:array<long>,score:double>>, places array<struct<tree:int,low:long,high:long>>"))
+            out = []
+            for q, v, least in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = _unit(np.asarray([v]))
+                level = 0 if least <= -2 else _enough(x[0], least, planes, np.random.default_rng(abs(q)))
+                nodes = []
+                if trees * SHARE < 1 << level:
+                    shift = BITS - level
+                    for t, code in enumerate(_strings(x, planes)[0].tolist()):
+                        low = code >> shift << shift
+                        high = low + (1 << shift) - 1
+                        i, j = bisect_left(lasts, (t, low)), bisect_right(firsts, (t, high))
+                        if sum(rows[i + 1 : j - 1]) > most:
+                            nodes = []
+                            break
+                        nodes += [(q, parts[p], t, low, high) for p in range(i, j)]
+                out += nodes or [(q, -1, 0, 0, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate([pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])], names=["q", "part", "tree", "low", "high"])
+
+    def ascended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        b = pa.Table.from_batches(held)
+        part, tree, code, rep, q, high, node = (b[c].to_numpy() for c in ("part", "tree", "code", "rep", "q", "high", "node"))
+        at, asks = np.flatnonzero(~node), np.flatnonzero(node)
+        part_, tree_, code_, rep_ = part[at], tree[at], code[at], rep[at]
+        # runs of one tree in one range
+        key = part_.astype(np.int64) * trees + tree_
+        found, size = [], 0
+        for r in asks:
+            start, end = np.searchsorted(key, [k_ := int(part[r]) * trees + int(tree[r]), k_ + 1])
+            i, j = start + np.searchsorted(code_[start:end], code[r]), start + np.searchsorted(code_[start:end], high[r], "right")
+            too_many = j - i > most
+            reps = rep_[i:j] if not too_many else rep_[i : i + 1]
+            found.append((np.full(len(reps), q[r]), reps, np.full(len(reps), too_many)))
+            size += len(reps)
+            if size > 500_000 or r == asks[-1]:
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(x) for c, x in zip(("q", "rep", "root"), zip(*found, strict=True), strict=True)})
+                found, size = [], 0
+
     order = [F.desc("score"), "vec_id"]
 
     def best(rows: DataFrame) -> DataFrame:
         rows = rows.select("q", F.explode("ids").alias("vec_id"), "score").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
-        return rows.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1)
-
-    rows = seen_.select("q", F.explode("near").alias("x")).select("q", "x.ids", "x.score")
-    near = cut(best(rows))
-    least = near.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(-2.0).alias("least"))
-    places = seen_.groupBy("q").agg(F.flatten(F.collect_list("places")).alias("places"))
-    open_ = index.where("asked").select(F.col("rep").alias("q"), "v").join(least, "q", "left").join(places, "q", "left")
-    open_ = cut(open_.select("q", "v", F.coalesce("least", F.lit(-2.0)).alias("least"), "places").mapInArrow(judged, "q long, least double, v array<double>"))
-    all_ = _against_all(index, open_, dim, k)
-    if all_ is not None:
-        near = near.join(open_.select("q"), "q", "left_anti").select("q", "vec_id", "score").union(best(all_).select("q", "vec_id", "score"))
-    near = near.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
+        return rows.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1).select("q", "vec_id", "score", "nth")
+
+    forest = index.select("rep", "v", "asked").mapInArrow(entries, "tree int, code long, rep long, asked boolean")
+    forest = forest.repartitionByRange(ranges, "tree", "code", "rep").sortWithinPartitions("tree", "code", "rep")
+    forest = cut(forest.mapInArrow(placed, "tree int, code long, rep long, asked boolean, part int"))
+    place = F.struct("tree", "code")
+    found = forest.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    ends = spark.sparkContext.broadcast(([r["part"] for r in found], [tuple(r["first"]) for r in found], [tuple(r["last"]) for r in found], [r["n"] for r in found]))
+
+    deepest = forest.mapInArrow(descended, "q long, rep long").distinct()
+    near = _scored(index, asked_.withColumn("least", F.lit(-2.0)), deepest, dim, k)
+    least = best(near).where(F.col("nth") == k + 1).select(F.col("q").alias("of"), "score")
+    wanted = cut(asked_.join(least, F.col("q") == F.col("of"), "left").select("q", "v", F.coalesce("score", F.lit(-2.0)).alias("least")))
+    nodes = cut(wanted.mapInArrow(planned, "q long, part int, tree int, low long, high long"))
+    roots = nodes.where("part = -1").select("q")
+    if not nodes.where("part <> -1").isEmpty():
+        none = F.lit(0).cast("long")
+        both = forest.select("part", "tree", "code", "rep", none.alias("q"), none.alias("high"), F.lit(False).alias("node"))
+        both = both.union(nodes.where("part <> -1").select("part", "tree", "low", none, "q", "high", F.lit(True)))
+        seen = cut(both.repartition(ranges, "part").sortWithinPartitions("part", "tree", "code").mapInArrow(ascended, "q long, rep long, root boolean"))
+        roots = roots.union(seen.where("root").select("q")).distinct()
+        near = near.union(_scored(index, wanted.join(roots, "q", "left_anti"), seen.join(roots, "q", "left_anti"), dim, k))
+    near = near.union(_scored(index, wanted.join(roots, "q", "left_semi"), None, dim, k))
+    near = best(near).groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))
     out = asked.join(near, F.col("rep") == F.col("q"))
     # the k + 1 best of each of its vectors, without the query itself
     out = out.select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score").where("vec_id <> query_id")

@@ -263,8 +263,43 @@ def test_forest_in_a_group_wider_than_the_window(spark, kind):
     assert np.mean([hit[q] for q in group.tolist() if q in hit]) == 1 and np.mean(list(hit.values())) >= 0.95
 
 
-def test_forest_recall_holds_if_reach_is_a_small_part(spark, monkeypatch):
-    monkeypatch.setattr(prefix_forest, "reach_for", lambda n: 4)
+def test_strings_keep_the_order_of_their_symbols():
+    r = np.random.default_rng(2)
+    planes = prefix_forest._planes(6, 3)
+    x = prefix_forest._unit(r.normal(size=(200, 6)))
+    codes = prefix_forest._strings(x, planes)
+    plain = [["".join("01"[int(s > 0)] for s in row[t * prefix_forest.BITS : (t + 1) * prefix_forest.BITS]) for t in range(3)] for row in x @ planes]
+    assert [[f"{c:0{prefix_forest.BITS}b}" for c in row] for row in codes.tolist()] == plain
+    a, b = codes[:100].ravel(), codes[100:].ravel()
+    a[:3], b[3] = b[:3], a[3] ^ 1
+    want = [next((k for k, (p, q) in enumerate(zip(f"{i:062b}", f"{j:062b}", strict=True)) if p != q), 62) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert prefix_forest._shared(a, b).tolist() == want and want[:4] == [62, 62, 62, 61]
+
+
+def groups_of_near_vectors(n, dim, size, seed):
+    """Groups of ``size`` vectors at a cosine of about 0.95 from each other, in mixed order."""
+    r = np.random.default_rng(seed)
+    m = np.repeat(r.normal(size=(n // size, dim)), size, axis=0) + 0.23 * r.normal(size=(n, dim))
+    return m[r.permutation(n)]
+
+
+@pytest.mark.parametrize("range_rows", [40_000, 4_000])
+def test_forest_without_its_root(spark, monkeypatch, range_rows):
+    """The trees alone find the neighbours, seeing a small part of the index, also where nodes cross ranges."""
+    pairs, to_root, scored = [], [], prefix_forest._scored
+
+    def watched(index, wanted, some, dim, k):
+        (pairs if some is not None else to_root).append(some.distinct().count() if some is not None else wanted.count())
+        return scored(index, wanted, some, dim, k)
+
+    monkeypatch.setattr(prefix_forest, "_scored", watched)
+    monkeypatch.setattr(prefix_forest, "RANGE_ROWS", range_rows)
+    m = groups_of_near_vectors(16_000, 48, 8, 9)
+    assert np.mean(list(recall(spark, m).values())) >= 0.95
+    assert sum(pairs) <= 0.1 * 320 * 16_000 and to_root[0] <= 0.05 * 320
+
+
+def test_forest_goes_to_its_root_for_far_neighbours(spark):
     m = np.random.default_rng(9).normal(size=(8000, 32))
     assert np.mean(list(recall(spark, m).values())) >= 0.95
 
