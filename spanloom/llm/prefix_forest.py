@@ -142,6 +142,8 @@ def _scored(index: DataFrame, wanted: DataFrame, pairs: DataFrame | None, dim: i
                     first_id = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1]]
                     y = _unit(b.column(1).flatten().to_numpy().reshape(-1, dim))
                     for some, to, s in scores(y, pa.concat_arrays([b.column(2)])):
+                        if not len(some):
+                            continue
                         s = np.round(s, DIGITS)
                         for start, end in zip(cuts := np.flatnonzero(np.diff(some, prepend=-1)), np.append(cuts[1:], len(some)), strict=True):
                             one, here, score = some[start], to[start:end], s[start:end]

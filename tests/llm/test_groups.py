@@ -294,6 +294,7 @@ def test_forest_without_its_root(spark, monkeypatch, range_rows):
 
     monkeypatch.setattr(prefix_forest, "_scored", watched)
     monkeypatch.setattr(prefix_forest, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(prefix_forest, "PAIRS", range_rows // 100)  # of a few pairs none may be near enough
     m = groups_of_near_vectors(16_000, 48, 8, 9)
     assert np.mean(list(recall(spark, m).values())) >= 0.95
     assert sum(pairs) <= 0.1 * 320 * 16_000 and to_root[0] <= 0.05 * 320
