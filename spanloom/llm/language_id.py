@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.llm.batches import CACHE_ENTRIES, parts
+from spanloom.llm.batches import CACHE_ENTRIES, give_back, parts
 from spanloom.llm.learning import fold
 from spanloom.session import cut
 
@@ -195,6 +195,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for b in batches:
             found = [score.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+        del score
+        give_back()
 
     own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     found = own.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -213,5 +215,7 @@ def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, te
         for b in batches:
             found = [score.predict(t.as_py()) for t in b.column(at)]
             yield b.filter(pa.array([x != "und" and p >= least for x, p in found], pa.bool_()))
+        del score
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

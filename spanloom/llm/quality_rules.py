@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.batches import give_back, parts
 from spanloom.llm.boosted_trees import Forest, train
 from spanloom.llm.learning import labelled_texts
 from spanloom.llm.text_stats import FEATURES, features
@@ -67,9 +68,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, failed, p = verdicts([t.as_py() or "" for t in b.column(1)], forest)
-            kept = ~failed & (p >= THRESHOLD)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(kept), pa.array(p)], names=names)
+            for part in parts(b):
+                counts, failed, p = verdicts([t.as_py() or "" for t in part.column(1)], forest)
+                kept = ~failed & (p >= THRESHOLD)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(counts[:, k]) for k in range(5)), pa.array(failed), pa.array(kept), pa.array(p)], names=names)
+        give_back()
 
     own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return own.mapInArrow(run, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
@@ -85,7 +88,9 @@ def keep_good(docs: DataFrame, training: DataFrame, labels: DataFrame, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, failed, p = verdicts([t.as_py() or "" for t in b.column(at)], forest)
-            yield b.filter(pa.array(~failed & (p >= THRESHOLD)))
+            for part in parts(b, at):
+                _, failed, p = verdicts([t.as_py() or "" for t in part.column(at)], forest)
+                yield part.filter(pa.array(~failed & (p >= THRESHOLD)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.batches import make_room, parts
+from spanloom.llm.batches import give_back, make_room, parts
 from spanloom.llm.pieces import PieceModel, load
 
 
@@ -201,6 +201,7 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, field
                     same.append(enc.model.decode(ids.tolist()) == t)
                 cols = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(x, arrow), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+        give_back()
 
     own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return own.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, {field}, round_trip boolean")
