@@ -65,8 +65,9 @@ def test_links_by_counts_and_by_products(monkeypatch):
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)]
     want = np.array([[a != b and len(np.intersect1d(x, y)) >= 0.5 * len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
-    for dense in (1, 24, 1000):
+    for dense, counted in ((1, 1_000_000), (24, 1_000_000), (1000, 1_000_000), (24, 1), (1000, 5000)):
         monkeypatch.setattr(jaccard_join, "DENSE", dense)
+        monkeypatch.setattr(jaccard_join, "COUNTED", counted)
         assert (jaccard_join._links(sets, None, 0.5) == want).all()
         cross = jaccard_join._links(sets[:20], sets[20:], 0.5)
         assert (cross[:20, 20:] == want[:20, 20:]).all() and not cross[:20, :20].any()
