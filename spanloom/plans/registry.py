@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from spanloom.functions import names as fn
 from spanloom.operators import aggregates, graph, grep, imports, resolve, search
 from spanloom.plans import fixtures
 from spanloom.plans import views as v
-from spanloom.session import shared_dir, table
+from spanloom.session import cut, shared_dir, table
 from spanloom.sources import ast_xml, store
 from spanloom.sources.langs import BY_EXTENSION, LANGUAGES, SKIP_DIRS
 from spanloom.sources.scan import changed, in_skipped_dir, is_test, language_of, scan
@@ -365,13 +366,23 @@ add("annotate", lambda s, d: store.annotate({"annotations": _annotations(s, d)},
 
 
 def _tool(tool: str, what: str, schema: str, **arguments) -> Callable[[SparkSession, str], DataFrame]:
-    """The rows of a reply, through the request itself."""
+    """The rows of all pages of a reply, through the requests themselves; the driver holds one page at a time."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        index = {"nodes": v.nodes(s, d), "edges": v.edges(s, d)}
-        reply = tools.Tools(index).handle({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": arguments}})
-        found = json.loads(reply["result"]["content"][0]["text"])
-        return s.createDataFrame([(found["count"], *(r[c.split()[0]] for c in schema.split(", "))) for r in found[what]], "count long, " + schema.replace("column int", "`column` int"))
+        asked = tools.Tools({"nodes": v.nodes(s, d), "edges": v.edges(s, d)})
+
+        def page(offset: int) -> tuple[DataFrame, int | None]:
+            reply = asked.handle({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": {**arguments, "offset": offset}}})
+            found = json.loads(reply["result"]["content"][0]["text"])
+            rows = [(found["count"], *(r[c.split()[0]] for c in schema.split(", "))) for r in found[what]]
+            return s.createDataFrame(rows, "count long, " + schema.replace("column int", "`column` int")), found.get("next")
+
+        first, following = page(0)
+        pages = [first if following is None else cut(first)]
+        while following is not None:
+            rows, following = page(following)
+            pages.append(cut(rows))
+        return functools.reduce(DataFrame.union, pages)
 
     return run
 

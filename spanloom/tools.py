@@ -40,7 +40,7 @@ class Tools:
     def find_symbol(self, name: str = "", ignoreCase: bool = False, offset: int = 0) -> dict:
         if not name:
             raise ToolError("name is required")
-        rows = search.query(self.index["nodes"], name, ignoreCase).select("name", "file", "line", "column", "id").orderBy("file", "line", "column", "name")
+        rows = search.query(self.index["nodes"], name, ignoreCase).select("name", "file", "line", "column", "id").orderBy("file", "line", "column", "name", "id")
         return _reply("symbols", rows, offset)
 
     def find_callers(self, nodeId: str = "", offset: int = 0) -> dict:

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import tools
 from spanloom.build import build, extract
 from spanloom.functions.names import dir_name, has_word, method_of, object_of, package, trimmed
 from spanloom.operators import aggregates, graph, grep, imports, resolve, search
@@ -425,6 +426,12 @@ def test_tools(g):
     assert [x["id"] for x in got] == [2, 3, 4, 5] and len(got[0]["result"]["tools"]) == 4 and got[1]["error"]["code"] == -32601 and got[2]["error"]["code"] == -32602
 
 
+def test_pages_of_symbols_at_one_place(spark, monkeypatch):
+    monkeypatch.setattr(tools, "PAGE", 2)
+    t = Tools({"nodes": spark.createDataFrame([(str(k), "Same", "f", 1, 1) for k in (3, 1, 4, 0, 2)], NODES).repartition(3)})
+    assert [r["id"] for offset in (0, 2, 4) for r in t.find_symbol("Same", offset=offset)["symbols"]] == ["0", "1", "2", "3", "4"]
+
+
 def test_command_line(spark, tree, tmp_path, monkeypatch, capsys):
     from spanloom import cli
 

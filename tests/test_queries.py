@@ -4,6 +4,7 @@ import pytest
 
 import oracle
 from engine_data import DATA
+from spanloom import tools
 from spanloom.plans import registry
 
 SF = f"{DATA}/sf0.001"
@@ -26,6 +27,14 @@ def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["tool_find_symbol", "tool_outline", "tool_find_callers", "tool_find_callees"])
+def test_every_page_of_a_reply(spark, con, monkeypatch, name):
+    monkeypatch.setattr(tools, "PAGE", 3)
+    assert len(con.sql(registry.ORACLES[name])) > 3 or name == "tool_outline"
+    more, less, *_ = oracle.compare(registry.QUERIES[name](spark, SF), registry.ORACLES[name], con)
+    assert not more and not less, (list(more.items())[:3], list(less.items())[:3])
+
+
 def test_entry(spark):
     import __spark_entry__
 
