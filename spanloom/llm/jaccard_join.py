@@ -7,9 +7,9 @@ the prefix that two neighbours share is the deepest node above both, and a run
 of neighbours that share at least k symbols is a node of depth k.
 
 Which prefixes count is decided on the data: sets that share a node with its
-first set are compared exactly (all of them, or SAMPLE pairs by their hash), and
-the similarities of the links among them say how many links, as similar as
-they, have no node of some depth in common.  From the longest prefixes on, STEP
+first set are compared exactly, all of them, and the similarities of the links
+among them say how many links, as similar as they, have no node of some depth in
+common.  From the longest prefixes on, STEP
 symbols go until what is found is RECALL of all links by that estimate, or until
 a pair just at the threshold meets with that probability (``prefix_length``),
 whichever comes first.  Sets that hang together by nodes of that depth are a
@@ -49,8 +49,6 @@ RECALL = 0.99999
 #: the share of unseen links is bounded with this confidence
 CONFIDENCE = 0.95
 BINS = 100
-#: pairs by which the length of prefixes is decided, at most
-SAMPLE = 200_000
 #: strings in one sorted range
 RANGE_ROWS = 400_000
 BLOCK_SHINGLES = 200_000
@@ -318,7 +316,7 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def _length(nodes: DataFrame, pool: DataFrame, lengths: list[int], threshold: float) -> int:
     """The longest of the lengths by whose nodes the target recall is reached, as the links among
-    pairs (a, b) of a node say; the last if none is proved to."""
+    all pairs (a, b) of the nodes say; the last if none is proved to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS + 1, np.int64)
@@ -332,10 +330,8 @@ def _length(nodes: DataFrame, pool: DataFrame, lengths: list[int], threshold: fl
         give_back()
         yield pa.RecordBatch.from_pydict({"bin": np.arange(BINS + 1), "n": counts})
 
-    total = nodes.count()
-    some = nodes.select("a", "b").where((F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) / (1 << 30)) < SAMPLE / max(total, 1))
     side = lambda v, sh: pool.select(F.col("v").alias(v), F.col("sh").alias(sh))
-    pairs = some.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    pairs = nodes.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
     similar = np.zeros(BINS + 1)
     for r in pairs.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         similar[r["bin"]] = r["n"]

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_data import DATA, HARD, document
 from spanloom.llm import jaccard_join, mixing, prefix_forest, sharding
@@ -165,6 +166,15 @@ def test_near_duplicates_on_hard_rows(hard, empty):
     assert jaccard_join.keep_one(empty).count() == 0
 
 
+def test_every_pair_decides_the_length(spark, monkeypatch):
+    seen, n = [], 460
+    monkeypatch.setattr(jaccard_join, "unseen", lambda similar, *_: seen.append(similar.sum()) or 0.0)
+    one = np.arange(5, dtype=np.uint64).tobytes()
+    pool = spark.createDataFrame([(v, one) for v in range(n)], "v long, sh binary")
+    nodes = spark.range(n * n).select((F.col("id") % n).alias("a"), F.floor(F.col("id") / n).alias("b"), F.lit(12).alias("length"))
+    assert jaccard_join._length(nodes, pool, [12, 8], 0.8) == 12 and seen == [n * n]
+
+
 def test_keep_one_with_repeated_and_null_ids(spark):
     rows = [(1, document(1)), (1, document(2)), (2, document(2) + " tail"), (None, document(3)), (None, document(3)), (None, document(1)), (None, document(4)), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
