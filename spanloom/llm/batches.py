@@ -1,4 +1,4 @@
-"""Arrow batches cut to bounded sizes, and bounded caches of a worker."""
+"""Arrow batches of bounded sizes, and bounded caches of a worker."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 
 #: spans that a worker remembers
@@ -16,6 +17,15 @@ CACHE_ENTRIES = 400_000
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands workers at most 1,000 rows or 8 MB of whole texts at a time: an
+    executor holds several copies of a batch outside its heap.  Smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def give_back() -> None:
     """At the end of a task: return to the system what this worker's allocators keep; the worker lives on."""
     pa.default_memory_pool().release_unused()

@@ -3,9 +3,10 @@
 A word of the learned vocabulary adds its log frequency in each language.  Any
 other word backs off: at each of its characters the longest learned character
 n-gram that ends there speaks, from ``LONGEST`` characters down to one.  The
-tables come from a bounded sample of documents with a language (``SAMPLE`` rows
-by the hash of their id, outside the held-out fold), dealt evenly among the
-languages: one with few documents gives all of them.  The vocabulary keeps
+tables come from documents with a language outside the held-out fold: for the
+pipeline from all of them, for the query from a bounded sample (``SAMPLE`` rows
+by the hash of their id), dealt evenly among the languages: one with few
+documents gives all of them.  The vocabulary keeps
 ``WORDS`` words that occur twice and ``GRAMS`` n-grams, the most frequent of
 each language in turn, so what is broadcast is bounded.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.llm.batches import CACHE_ENTRIES, give_back, parts
+from spanloom.llm.batches import give_back, parts, small_batches
 from spanloom.llm.learning import fold
 from spanloom.session import cut
 
@@ -32,6 +33,10 @@ WORDS = 50_000
 GRAMS = 40_000
 LONGEST = 4
 LANGUAGES = 1000
+#: entries that a task counts before it passes them on
+HELD = 100_000
+#: words whose scores a worker remembers
+SCORED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -85,7 +90,7 @@ class Scorer:
         return out
 
     def _row(self, word: str) -> int:
-        if len(self._rows) >= CACHE_ENTRIES:
+        if len(self._rows) >= SCORED:
             self._rows.clear()
         k = self._rows[word] = len(self._rows)
         if k >= len(self._logs):
@@ -100,7 +105,7 @@ class Scorer:
         total = np.zeros(len(self.tables.languages))
         for at in range(0, len(found), 50_000):  # fewer than the cache holds
             part = found[at : at + 50_000]
-            if len(self._rows) + len(part) > CACHE_ENTRIES:
+            if len(self._rows) + len(part) > SCORED:
                 self._rows.clear()
             rows = list(map(self._rows.get, part))
             if None in rows:
@@ -133,31 +138,51 @@ def _chosen(own: DataFrame, most: int) -> DataFrame:
     return own.withColumn("nth", nth).where(F.col("nth") <= F.col("quota")).select(F.col("id").alias("chosen"), "lang")
 
 
-def fit(docs: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables:
-    """Tables from at most ``most`` documents.  Counts are made where the texts
-    are and summed by word; the driver gets the bounded vocabulary.  Beyond the
-    LANGUAGES most frequent languages none is learned."""
+def fit(docs: DataFrame, most: int | None = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables:
+    """Tables from at most ``most`` documents, from all if it is None.  Words are
+    counted where the texts are and summed, then n-grams are counted in the
+    sums; the driver gets the bounded vocabulary.  Beyond the LANGUAGES most
+    frequent languages none is learned."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     own = own.where(F.col("id").isNotNull() & F.col("lang").isNotNull()).where(fold(F.col("id"), HELD_OUT[0]) != HELD_OUT[1])
-    chosen = _chosen(own.groupBy("id").agg(F.min("lang").alias("lang")), most)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("lang", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    if most is None:
+        texts = texts.where(F.col("lang").isNotNull() & F.coalesce(fold(F.col("id"), HELD_OUT[0]) != HELD_OUT[1], F.lit(False))).select("lang", "text")
+    else:
+        chosen = _chosen(own.groupBy("id").agg(F.min("lang").alias("lang")), most)
+        texts = texts.drop("lang").join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("lang", "text")
+
+    def counted(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, c in held.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(c), "text": pa.array(c, pa.string()), "n": pa.array(c.values(), pa.int64())})
+        held.clear()
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
         for b in batches:
             for part in parts(b, most=2_000_000):
-                seen: dict[str, Counter] = {}
                 for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    seen.setdefault(lang, Counter()).update(words(t or ""))
-                for lang, c in seen.items():
-                    g: Counter = Counter()
-                    for w, n in c.items():
-                        for x in grams(w):
-                            g[x] += n
-                    for kind, found in (("w", c), ("g", g)):
-                        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "kind": [kind] * len(found), "text": list(found), "n": pa.array(found.values(), pa.int64())})
-
-    counts = texts.mapInArrow(count, "lang string, kind string, text string, n long").groupBy("kind", "text", "lang").agg(F.sum("n").alias("n"))
+                    held.setdefault(lang, Counter()).update(words(t or ""))
+                if sum(map(len, held.values())) > HELD:
+                    yield from counted(held)
+        yield from counted(held)
+        give_back()
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for b in batches:
+            for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                c = held.setdefault(lang, Counter())
+                for x in grams(w):
+                    c[x] += n
+            if sum(map(len, held.values())) > HELD:
+                yield from counted(held)
+        yield from counted(held)
+        give_back()
+
+    summed = lambda df, count: df.mapInArrow(count, "lang string, text string, n long").groupBy("text", "lang").agg(F.sum("n").alias("n"))
+    by_word = cut(summed(texts, count_words).select("lang", "text", "n"))
+    counts = by_word.withColumn("kind", F.lit("w")).unionByName(summed(by_word, count_grams).withColumn("kind", F.lit("g")))
     counts = counts.withColumn("nth", F.row_number().over(W.partitionBy("kind", "lang").orderBy(F.desc("n"), "text")))
     # at most one entry a language of the sample in each row
     by_text = cut(counts.groupBy("kind", "text").agg(F.sum("n").alias("all"), F.min("nth").alias("nth"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
@@ -204,17 +229,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select(F.col(f"`{id_col}`"), held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, text_col: str = "text", most: int = SAMPLE) -> DataFrame:
+def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs whose text has a language with a score of at least ``least``,
-    with all their columns; texts without letters go."""
-    tables = docs.sparkSession.sparkContext.broadcast(fit(training, most))
+    with all their columns; texts without letters go.  The tables learn from all of
+    ``training``."""
+    small_batches(docs.sparkSession)
+    tables = docs.sparkSession.sparkContext.broadcast(fit(training, None))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(tables.value)
         for b in batches:
-            found = [score.predict(t.as_py()) for t in b.column(at)]
-            yield b.filter(pa.array([x != "und" and p >= least for x, p in found], pa.bool_()))
+            for part in parts(b, at):
+                found = [score.predict(t.as_py()) for t in part.column(at)]
+                yield part.filter(pa.array([x != "und" and p >= least for x, p in found], pa.bool_()))
         del score
         give_back()
 

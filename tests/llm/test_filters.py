@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from llm_data import DATA, ENGLISH, HARD, document
-from spanloom.llm import boosted_trees, language_id, quality_classifier, quality_rules
+from spanloom.llm import boosted_trees, language_id, quality_classifier, quality_rules, whole_trees
 from spanloom.llm.text_stats import base, features
 from spanloom.session import table
 
@@ -130,3 +130,41 @@ def test_language_backs_off_to_shorter_grams():
     s = language_id.Scorer(language_id.Tables(["de", "en"], counts))
     assert s.predict("Haus")[0] == "de" and s.predict("Meinung")[0] == "de" and s.predict("xx")[0] == "en"
     assert s.predict("12 34") == ("und", 0.0) and document(1)
+
+
+def test_whole_trees_learn_from_every_row(spark):
+    r = np.random.default_rng(4)
+    x = r.gamma(2.0, size=(3000, 3))
+    y = (x[:, 0] - x[:, 2] + r.normal(size=3000) * 0.3 > 0).astype(int)
+    monotone = np.asarray([1, 0, -1])
+    rows = spark.createDataFrame([(a.tobytes(), int(b)) for a, b in zip(x, y, strict=True)], "x binary, y int")
+    fitted = [whole_trees.train_whole(rows.repartition(k), monotone, trees=8) for k in (2, 5)]
+    plain = boosted_trees.train(x, y.astype(float), monotone, trees=8)
+    for m in fitted:
+        assert np.array_equal(m.probability(x), fitted[0].probability(x))  # whatever the partitions
+        assert np.abs(m.probability(x) - plain.probability(x)).mean() < 0.02 and ((m.probability(x) > 0.5) == y).mean() > 0.9
+    line = np.repeat(x[:50], 40, axis=0)
+    for f, sign in ((0, 1), (2, -1)):
+        at = line.copy()
+        at[:, f] = np.tile(np.linspace(0, 9, 40), 50)
+        assert (np.diff(fitted[0].margin(at).reshape(50, 40), axis=1) * sign >= -1e-12).all()
+
+
+def test_the_pipeline_learns_from_every_document(spark, monkeypatch):
+    """Beyond what a sample would hold."""
+    monkeypatch.setattr(quality_rules, "SAMPLE", 5)
+    monkeypatch.setattr(language_id, "SAMPLE", 5)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    seen = []
+    monkeypatch.setattr(quality_rules, "train_whole", lambda rows, monotone: seen.append(rows.count()) or boosted_trees.constant(0.9))
+    quality_rules.keep_good(docs, docs, labels)
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert seen == [len({r["doc_id"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in ids})]
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts[r["lang"]].update(language_id.words(r["text"] or ""))
+    monkeypatch.setattr(language_id, "Tables", lambda languages, table: seen.append(table))
+    language_id.fit(docs, None)
+    got = {w: c.tolist() for (kind, w), c in seen[-1].items() if kind == "w"}
+    assert got == {w: [counts[x][w] for x in sorted(counts)] for w in got} and len(got) == sum(sum(c[w] for c in counts.values()) >= 2 for w in set().union(*counts.values()))
