@@ -168,3 +168,16 @@ def test_the_pipeline_learns_from_every_document(spark, monkeypatch):
     language_id.fit(docs, None)
     got = {w: c.tolist() for (kind, w), c in seen[-1].items() if kind == "w"}
     assert got == {w: [counts[x][w] for x in sorted(counts)] for w in got} and len(got) == sum(sum(c[w] for c in counts.values()) >= 2 for w in set().union(*counts.values()))
+
+
+def test_batches_are_small_whatever_was_set(spark, hard, labels):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(key, "10000")
+        language_id.keep_identified(hard, hard)
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "7")
+        quality_rules.keep_good(hard, hard, labels.limit(0))
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.unset(key)
