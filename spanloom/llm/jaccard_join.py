@@ -205,7 +205,9 @@ def _nodes(strings: DataFrame, lengths: list[int]) -> DataFrame:
             more += [(y[3], x[3], max(k for k in lengths if k <= n))] if n >= lengths[-1] else []
     found = found.where("a is not null").select("a", "b", "length")
     if more:
-        found = found.union(found.sparkSession.createDataFrame(more, "a long, b long, length int"))
+        columns = [pa.array(c, t) for c, t in zip(zip(*more, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        # a list of rows would start workers of another kind, which stay in memory beside those of the tasks
+        found = found.union(found.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names=["a", "b", "length"])))
     return found.groupBy("a", "b").agg(F.max("length").alias("length"))
 
 

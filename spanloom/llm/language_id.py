@@ -37,6 +37,8 @@ LANGUAGES = 1000
 HELD = 100_000
 #: words whose scores a worker remembers
 SCORED = 150_000
+#: turns that are counted together to see which ones fill the vocabulary
+TURNS = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,13 +53,14 @@ def grams(word: str) -> list[str]:
 
 
 class Tables:
-    """Log frequencies by language: rows of ``logs`` for words and n-grams."""
+    """Log frequencies by language: rows of ``logs``, one array for all, as every worker holds a copy;
+    ``words`` and ``grams`` say which row."""
 
     def __init__(self, languages: list[str], counts: dict[tuple[str, str], np.ndarray]):
         self.languages = languages
-        k = len(languages)
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self.logs = np.zeros((len(counts), len(languages)))
         groups: dict[object, list] = {}
         for (kind, text), c in counts.items():
             groups.setdefault("word" if kind == "w" else len(text), []).append((text, c))
@@ -65,8 +68,8 @@ class Tables:
             total = np.sum([c for _, c in rows], axis=0)
             to = self.words if group == "word" else self.grams
             for text, c in rows:
-                to[text] = np.log((c + 0.5) / (total + 0.5 * len(rows)))
-        self.zero = np.zeros(k)
+                k = to[text] = len(self.words) + len(self.grams)
+                self.logs[k] = np.log((c + 0.5) / (total + 0.5 * len(rows)))
 
 
 class Scorer:
@@ -79,13 +82,13 @@ class Scorer:
         t = self.tables
         known = t.words.get(word)
         if known is not None:
-            return known
-        w, out = f"<{word}>", t.zero.copy()
+            return t.logs[known]
+        w, out = f"<{word}>", np.zeros(len(t.languages))
         for end in range(2, len(w) + 1):
             for n in range(min(LONGEST, end), 0, -1):
                 found = t.grams.get(w[end - n : end])
                 if found is not None:
-                    out += found
+                    out += t.logs[found]
                     break
         return out
 
@@ -138,6 +141,19 @@ def _chosen(own: DataFrame, most: int) -> DataFrame:
     return own.withColumn("nth", nth).where(F.col("nth") <= F.col("quota")).select(F.col("id").alias("chosen"), "lang")
 
 
+def _first(own: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` first entries in turn.  What is sorted are those of the turns that fill
+    the vocabulary, so that each task doesn't send as many rows to the driver as it keeps."""
+    block = F.least(F.floor(F.col("nth") / TURNS), F.lit(keep))  # later ones together
+    held = 0
+    for r in own.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect():
+        held += r["n"]
+        if held >= keep and r["block"] < keep:
+            own = own.where(F.col("nth") < (r["block"] + 1) * TURNS)
+            break
+    return own.orderBy("nth", F.desc("all"), "text").limit(keep)
+
+
 def fit(docs: DataFrame, most: int | None = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables:
     """Tables from at most ``most`` documents, from all if it is None.  Words are
     counted where the texts are and summed, then n-grams are counted in the
@@ -188,7 +204,7 @@ def fit(docs: DataFrame, most: int | None = SAMPLE, id_col: str = "doc_id", text
     by_text = cut(counts.groupBy("kind", "text").agg(F.sum("n").alias("all"), F.min("nth").alias("nth"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
     rows = []
     for kind, keep, least in (("w", WORDS, 2), ("g", GRAMS, 1)):
-        rows += by_text.where((F.col("kind") == kind) & (F.col("all") >= least)).orderBy("nth", F.desc("all"), "text").limit(keep).collect()
+        rows += _first(by_text.where((F.col("kind") == kind) & (F.col("all") >= least)), keep).collect()
     totals: Counter = Counter()
     for r in rows:
         totals.update(r["by"])

@@ -49,7 +49,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest:
 
 def fit_whole(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Trees from every labelled document.  Features are made where the texts
-    are, before the labels are joined to them, so that no text is moved."""
+    are, before the labels are joined to them, so that no text is moved.  The
+    join is never a broadcast: the Python that follows it would run in the tasks
+    that make the features, and an executor hold two workers a core from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +63,7 @@ def fit_whole(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     own = own.where(fold(F.col("id"), HELD_OUT[0]) != HELD_OUT[1])
     kind = own.schema["id"].dataType.simpleString()
-    rows = own.mapInArrow(run, f"id {kind}, x binary").join(all_labels(labels, "quality", HELD_OUT), F.col("id") == F.col("doc_id"))
+    rows = own.mapInArrow(run, f"id {kind}, x binary").join(all_labels(labels, "quality", HELD_OUT).hint("merge"), F.col("id") == F.col("doc_id"))
     return train_whole(rows.select("x", "y"), MONOTONE)
 
 

@@ -1,4 +1,6 @@
+import pickle
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -181,3 +183,34 @@ def test_batches_are_small_whatever_was_set(spark, hard, labels):
         assert spark.conf.get(key) == "7"
     finally:
         spark.conf.unset(key)
+
+
+def test_features_and_trees_run_in_tasks_of_their_own(spark, monkeypatch):
+    """A broadcast of few labels would put two workers a task into one stage."""
+    plans = []
+    monkeypatch.setattr(quality_rules, "train_whole", lambda rows, monotone: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or boosted_trees.constant(0.9))
+    docs = spark.createDataFrame([(i, document(i), "en", "a") for i in range(20)], "doc_id long, text string, lang string, source string")
+    quality_rules.keep_good(docs, docs, spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").coalesce(1).limit(15))
+    quality_rules.keep_good(table(spark, SF, "documents"), table(spark, SF, "documents"), table(spark, SF, "labels"))
+    assert all("BroadcastHashJoin" not in p and "SortMergeJoin" in p for p in plans) and len(plans) == 2
+
+
+def test_language_tables_are_one_array():
+    """Every worker holds a copy of them."""
+    counts = {("w", f"word{k}"): np.asarray([k, 1.0, 2.0]) for k in range(10_000)}
+    tables = language_id.Tables(["de", "en", "fr"], counts)
+    assert len(pickle.dumps(tables)) < 50 * len(counts)
+    total = np.sum(list(counts.values()), axis=0)
+    assert np.array_equal(language_id.Scorer(tables).of_word("word77"), np.log((counts["w", "word77"] + 0.5) / (total + 0.5 * len(counts))))
+
+
+def test_vocabulary_is_sorted_from_the_turns_that_fill_it(spark):
+    """Whatever the number of tasks; the same entries as from all of them."""
+    r = np.random.default_rng(5)
+    rows = [(int(n), int(r.integers(2, 9)), f"w{k}") for k, n in enumerate(r.integers(1, 4000, 3000))]
+    own = spark.createDataFrame(rows, "nth int, all long, text string").repartition(7)
+    for keep in (1, 50, 700, 2999, 5000):
+        got = [tuple(x) for x in language_id._first(own, keep).collect()]
+        assert got == sorted(rows, key=lambda x: (x[0], -x[1], x[2]))[:keep]
+    bounds = [re.findall(r"nth#\d+ < (\d+)", language_id._first(own, keep)._jdf.queryExecution().optimizedPlan().toString()) for keep in (50, 5000)]
+    assert bounds[1] == [] and sum(x < int(bounds[0][0]) for x, _, _ in rows) < 50 + 3 * language_id.TURNS
