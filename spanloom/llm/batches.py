@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 
 #: spans that a worker remembers
 CACHE_ENTRIES = 400_000
+#: what tasks of one kind leave to the next of their kind on the same worker
+lasting: list[dict] = []
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
@@ -26,8 +28,12 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def give_back() -> None:
-    """At the end of a task: return to the system what this worker's allocators keep; the worker lives on."""
+def give_back(keep: dict | None = None) -> None:
+    """At the end of a task: return to the system what this worker's allocators keep, and forget what tasks
+    of other kinds left; the worker lives on."""
+    for held in lasting:
+        if held is not keep:
+            held.clear()
     pa.default_memory_pool().release_unused()
     _trim(0)
 

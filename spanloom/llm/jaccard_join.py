@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.batches import give_back, make_room, parts
+from spanloom.llm.batches import give_back, lasting, make_room, parts
 from spanloom.llm.components import components
 from spanloom.llm.text_stats import window_hashes
 from spanloom.session import cut
@@ -60,6 +60,7 @@ _random = np.random.default_rng(17)
 _MULTIPLY = _random.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32) | np.uint32(1)
 _FLIP = _random.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
 _hashes: dict[bytes, int] = {}
+lasting.append(_hashes)
 
 
 def prefix_length(threshold: float, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -152,7 +153,6 @@ def _signed(docs: DataFrame) -> DataFrame:
                     high.append(strings[0])
                     low.append(strings[1])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(high, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32())), part.column(2), part.column(3)], names=["id", "v", "n", "high", "low", "t", "t2"])
-        _hashes.clear()  # the worker lives on
         give_back()
 
     return docs.mapInArrow(run, f"id {kind}, v long, n long, high array<long>, low array<int>, t long, t2 long")
@@ -228,7 +228,6 @@ def _sets(rows: DataFrame) -> DataFrame:
                         vs.append(v)
                         found.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(found, pa.binary())], names=["v", "sh"])
-        _hashes.clear()
         give_back()
 
     return rows.mapInArrow(run, "v long, sh binary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.batches import give_back, make_room, parts
+from spanloom.llm.batches import give_back, lasting, make_room, parts
 from spanloom.llm.pieces import PieceModel, load
 
 
@@ -160,6 +160,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+lasting.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
@@ -168,6 +169,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _end() -> None:
+    """Of a task.  By its name: what a task's own code names is a copy, made on the driver."""
+    give_back(_encoders)
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of every whole text: id, n_bytes, n_tokens, ids (array of int),
     round_trip (whether decoding the ids gives the text back).
@@ -201,7 +207,7 @@ def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, field
                     same.append(enc.model.decode(ids.tolist()) == t)
                 cols = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(x, arrow), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
-        give_back()
+        _end()
 
     own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return own.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, {field}, round_trip boolean")

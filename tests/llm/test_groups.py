@@ -1,11 +1,13 @@
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from llm_data import DATA, HARD, document
-from spanloom.llm import jaccard_join, mixing, prefix_forest, sharding
+from spanloom.llm import batches, jaccard_join, mixing, prefix_forest, sharding, streaming_encoder
 from spanloom.llm.components import components
 from spanloom.session import table
 
@@ -385,3 +387,26 @@ def test_mix_keeps_columns_and_copies(spark, hard, empty):
     assert kept.columns == hard.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == +copies
     assert mixing.mix(empty).count() == 0 and mixing.mix(empty, keep_columns=True).count() == 0
+
+
+def test_workers_forget_hashes(spark):
+    """At the end of each task."""
+    docs = spark.createDataFrame([(i, document(i), "en", "a") for i in range(40)], "doc_id long, text string, lang string, source string").coalesce(1)
+
+    def held(batches):
+        from spanloom.llm import jaccard_join
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(jaccard_join._hashes)]})
+
+    jaccard_join.near_duplicates(docs).collect()
+    assert spark.range(0, 64, 1, 32).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_encoders_stay_for_their_own_tasks():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    held = streaming_encoder.encoder(path)
+    streaming_encoder._end()
+    assert streaming_encoder.encoder(path) is held
+    batches.give_back()
+    assert not streaming_encoder._encoders
